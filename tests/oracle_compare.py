@@ -52,6 +52,18 @@ def _norm(v):
     return v
 
 
+_SPARK2DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT",
+               "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "date": "DATE",
+               "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def spark_type(dt) -> str:
+    s = dt.simpleString()
+    if s.startswith("array<"):
+        return spark_type(dt.elementType) + "[]"
+    return _SPARK2DUCK.get(s, s.upper())
+
+
 def _rows(cols, records):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(_norm(r[i]) for i in order) for r in records]
@@ -76,6 +88,12 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     drows = cur.fetchall()
     s_sorted, s_cols = _rows(sdf.columns, srows)
     d_sorted, d_cols = _rows(dcols, drows)
+    s_types = dict(zip(sdf.columns, [spark_type(f.dataType) for f in sdf.schema.fields]))
+    d_types = dict(zip(dcols, [str(dsc[1]) for dsc in cur.description]))
+    res["types_match"] = s_types == d_types
+    if not res["types_match"]:
+        res["type_diff"] = {c: (s_types.get(c), d_types.get(c)) for c in set(s_types) | set(d_types)
+                            if s_types.get(c) != d_types.get(c)}
     res.update(duck_rows=len(drows), cols_match=s_cols == d_cols,
                values_match=s_sorted == d_sorted)
     res["match"] = res["cols_match"] and res["values_match"] and len(srows) == len(drows)

@@ -121,7 +121,7 @@ def j01_inner(spark, d):
 
 
 @query("j02_suffix_join", """SELECT d.doc_id, c.turn, c.role, d.lang,
-  length(d.text) AS len_x, length(c.text) AS len_y
+  CAST(length(d.text) AS INTEGER) AS len_x, CAST(length(c.text) AS INTEGER) AS len_y
 FROM documents d JOIN conversations c ON d.doc_id = c.conv_id""")
 def j02_suffix_join(spark, d):
     """Different key names; the colliding `text` becomes text_x / text_y."""
@@ -146,7 +146,7 @@ def j03_three_way(spark, d):
         F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-@query("j04_row_aligned", f"""SELECT d.doc_id, len({q.regexp_tokens('d.text')}) AS n_tokens,
+@query("j04_row_aligned", f"""SELECT d.doc_id, CAST(len({q.regexp_tokens('d.text')}) AS INTEGER) AS n_tokens,
   l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
 def j04_row_aligned(spark, d):
     """Features aligned with labels by an explicit key (no row index)."""
@@ -159,7 +159,7 @@ _URL_NUM = r"[0-9]+"
 
 
 @query("j05_lookup_default", f"""WITH a AS (SELECT page_id, regexp_extract_all(url, '{_URL_NUM}') AS arr FROM pages),
-t AS (SELECT page_id, generate_subscripts(arr, 1) - 1 AS pos, unnest(arr) AS token FROM a),
+t AS (SELECT page_id, CAST(generate_subscripts(arr, 1) - 1 AS INTEGER) AS pos, unnest(arr) AS token FROM a),
 dflt AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0)
 SELECT t.page_id, t.pos, t.token, CAST(e.vec_id IS NOT NULL AS INTEGER) AS hit,
   round(list_sum(list_transform(coalesce(e.embedding, dflt.v), lambda x: CAST(x AS DOUBLE))), 6) AS vec_sum
@@ -224,7 +224,7 @@ def a04_describe(spark, d):
 
 @query("a05_describe_text", """WITH c AS (SELECT o_orderpriority AS v, count(*) AS n FROM orders
   WHERE o_orderpriority IS NOT NULL GROUP BY 1)
-SELECT sum(n) AS count, count(*) AS unique, arg_min(v, (-n, v)) AS top, max(n) AS freq FROM c""")
+SELECT CAST(sum(n) AS BIGINT) AS count, count(*) AS unique, arg_min(v, (-n, v)) AS top, max(n) AS freq FROM c""")
 def a05_describe_text(spark, d):
     """A5: count / unique / top / freq of a text column."""
     return rl.describe_text(Tables(spark, d).orders, "o_orderpriority")
@@ -267,7 +267,7 @@ def a08_histogram(spark, d):
     return h.select("bin", F.round("lo", R6).alias("lo"), F.round("hi", R6).alias("hi"), "count")
 
 
-@query("a08_histogram_edges", """WITH e AS (SELECT [0.0, 5.0, 10.0, 25.0, 50.0, 100.0] AS edges),
+@query("a08_histogram_edges", """WITH e AS (SELECT CAST([0.0, 5.0, 10.0, 25.0, 50.0, 100.0] AS DOUBLE[]) AS edges),
 b AS (SELECT CASE WHEN value = 100.0 THEN 5 ELSE len(list_filter(edges, lambda x: x <= value)) END AS bin
       FROM events, e WHERE value >= 0.0 AND value <= 100.0),
 c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
@@ -286,8 +286,8 @@ def a09_ecdf(spark, d):
     return st.ecdf(e, "value").select("event_id", "value", F.round("ecdf", R6).alias("ecdf"))
 
 
-@query("a10_class_balance", """SELECT sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS pos,
-  sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS neg,
+@query("a10_class_balance", """SELECT CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+  CAST(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg,
   round(CAST(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS DOUBLE) / sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END), 6) AS neg_per_pos,
   round(CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS frac_pos,
   round(CAST(greatest(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END), sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END)) AS DOUBLE) / count(*), 6) AS majority_acc
@@ -348,8 +348,8 @@ def o02_top_n_per_group(spark, d):
     return rl.top_n_per_group(e, ["event_type"], [F.desc("value"), F.asc("event_id")], 5)
 
 
-@query("u01_union_all", """SELECT 'doc' AS src, doc_id AS id, length(text) AS n FROM documents
-UNION ALL SELECT 'bench' AS src, item_id AS id, length(text) AS n FROM benchmark""")
+@query("u01_union_all", """SELECT 'doc' AS src, doc_id AS id, CAST(length(text) AS INTEGER) AS n FROM documents
+UNION ALL SELECT 'bench' AS src, item_id AS id, CAST(length(text) AS INTEGER) AS n FROM benchmark""")
 def u01_union_all(spark, d):
     """Union all."""
     t = Tables(spark, d)

@@ -133,7 +133,7 @@ def w14_batches(spark, d):
     return b.select("doc_id", "batch_id", "batch_pos")
 
 
-@query("w15_length_buckets", f"SELECT len(w) AS length, count(*) AS n_texts FROM {_CONV_W} GROUP BY 1")
+@query("w15_length_buckets", f"SELECT CAST(len(w) AS INTEGER) AS length, count(*) AS n_texts FROM {_CONV_W} GROUP BY 1")
 def w15_length_buckets(spark, d):
     """Texts grouped by token count."""
     b = sq.length_buckets(_conv_words(Tables(spark, d)), "w")
@@ -246,9 +246,9 @@ def v14_encoder_features(spark, d):
 @query("v15_pair_truncation", f"""WITH c AS {_CONV_W},
 p AS (SELECT a.conv_id, a.turn, len(a.w) AS la, len(b.w) AS lb FROM c a JOIN c b
       ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-SELECT conv_id, turn, la, lb,
-  CASE WHEN la + lb <= 125 THEN la ELSE least(la, greatest(63, 125 - lb)) END AS la_cut,
-  CASE WHEN la + lb <= 125 THEN lb ELSE 125 - least(la, greatest(63, 125 - lb)) END AS lb_cut FROM p""")
+SELECT conv_id, turn, CAST(la AS INTEGER) AS la, CAST(lb AS INTEGER) AS lb,
+  CASE WHEN la + lb <= 125 THEN la ELSE least(la, greatest(63, 125 - lb)) END::INTEGER AS la_cut,
+  CASE WHEN la + lb <= 125 THEN lb ELSE 125 - least(la, greatest(63, 125 - lb)) END::INTEGER AS lb_cut FROM p""")
 def v15_pair_truncation(spark, d):
     """Truncate consecutive-turn pairs to 125 tokens (L=128 minus 3)."""
     c = _conv_words(Tables(spark, d))
@@ -284,7 +284,7 @@ def v21_shift_right(spark, d):
 
 # ---------------------------------------------------- co-occurrence (C)
 
-def _pairs_sql(src: str, keys: str, max_d: int, weight: str = "1.0") -> str:
+def _pairs_sql(src: str, keys: str, max_d: int, weight: str = "CAST(1 AS DOUBLE)") -> str:
     return f"""(SELECT w[i + d] AS row_word, w[i] AS col_word, {weight} AS w8
   FROM {_positions(src, keys)}, (SELECT unnest(generate_series(1, {max_d})) AS d) WHERE i + d <= n)"""
 

@@ -50,7 +50,7 @@ _LINK_POSTS_SQL = f"(SELECT page_id, concat_ws(' ', url, regexp_extract(html, '{
 
 
 @query("t01_strip_links", f"""SELECT page_id, md5({q.strip_links('message')}) AS h,
-  length({q.strip_links('message')}) AS n FROM {_LINK_POSTS_SQL}""")
+  CAST(length({q.strip_links('message')}) AS INTEGER) AS n FROM {_LINK_POSTS_SQL}""")
 def t01_strip_links(spark, d):
     """Remove links from link posts."""
     m = _link_posts(Tables(spark, d))
@@ -58,7 +58,7 @@ def t01_strip_links(spark, d):
     return m.select("page_id", F.md5(s).alias("h"), F.length(s).alias("n"))
 
 
-@query("t02_letters_only", f"""SELECT doc_id, len(w) AS n_words, md5(array_to_string(w, ' ')) AS h
+@query("t02_letters_only", f"""SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words, md5(array_to_string(w, ' ')) AS h
 FROM (SELECT doc_id, {q.letters_only_words('text')} AS w FROM documents)""")
 def t02_letters_only(spark, d):
     """Letters only, lower case, whitespace split."""
@@ -66,7 +66,7 @@ def t02_letters_only(spark, d):
     return w.select("doc_id", F.size("w").alias("n_words"), F.md5(F.array_join("w", " ")).alias("h"))
 
 
-@query("t03_stop_words", f"""SELECT doc_id, len(w) AS n_kept, md5(array_to_string(w, ' ')) AS h
+@query("t03_stop_words", f"""SELECT doc_id, CAST(len(w) AS INTEGER) AS n_kept, md5(array_to_string(w, ' ')) AS h
 FROM (SELECT doc_id, {q.remove_stops(q.letters_only_words('text'))} AS w FROM documents)""")
 def t03_stop_words(spark, d):
     """Stop-word removal keeping order and duplicates."""
@@ -82,8 +82,8 @@ def t05_tokenize(spark, d):
     return toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t06_whitespace", """SELECT conv_id, turn, len(string_split(lower(text), ' ')) AS n_tokens,
-  len(list_filter(string_split(lower(text), ' '), lambda t: t = '')) AS n_empty FROM conversations""")
+@query("t06_whitespace", """SELECT conv_id, turn, CAST(len(string_split(lower(text), ' ')) AS INTEGER) AS n_tokens,
+  CAST(len(list_filter(string_split(lower(text), ' '), lambda t: t = '')) AS INTEGER) AS n_empty FROM conversations""")
 def t06_whitespace(spark, d):
     """Lower + split on single spaces (empty tokens kept)."""
     c = Tables(spark, d).conversations.select("conv_id", "turn", tx.whitespace_tokens("text").alias("w"))
@@ -125,14 +125,14 @@ def t10_sentences(spark, d):
 
 
 @query("t11_html_text", f"""SELECT page_id, md5({q.html_to_text('html')}) AS h,
-  length({q.html_to_text('html')}) AS n FROM pages""")
+  CAST(length({q.html_to_text('html')}) AS INTEGER) AS n FROM pages""")
 def t11_html_text(spark, d):
     """HTML to text (script/style bodies and tags dropped, entities unescaped)."""
     p = Tables(spark, d).pages.select("page_id", tx.html_to_text("html").alias("t"))
     return p.select("page_id", F.md5("t").alias("h"), F.length("t").alias("n"))
 
 
-@query("t12_headline_words", f"""SELECT page_id, len(w) AS n_words, md5(array_to_string(w, ' ')) AS h FROM
+@query("t12_headline_words", f"""SELECT page_id, CAST(len(w) AS INTEGER) AS n_words, md5(array_to_string(w, ' ')) AS h FROM
   (SELECT page_id, {q.remove_stops(q.letters_only_words(q.html_to_text('html')))} AS w FROM pages)""")
 def t12_headline_words(spark, d):
     """HTML -> words -> stop words removed."""
@@ -147,7 +147,7 @@ def t13_lower(spark, d):
     return c.select("conv_id", "turn", F.md5(tx.to_lower("text")).alias("h"))
 
 
-@query("t14_token_count", f"SELECT doc_id, len({q.regexp_tokens('text')}) AS n_tokens FROM documents")
+@query("t14_token_count", f"SELECT doc_id, CAST(len({q.regexp_tokens('text')}) AS INTEGER) AS n_tokens FROM documents")
 def t14_token_count(spark, d):
     """Token count per row."""
     return Tables(spark, d).documents.select("doc_id", tx.token_count(tx.regexp_tokens("text")).alias("n_tokens"))
@@ -161,7 +161,7 @@ def t15_char_freq(spark, d):
     return c.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t16_printable", """SELECT doc_id, length(regexp_replace(text, '[^\\x09-\\x0d\\x20-\\x7e]', '', 'g')) AS n
+@query("t16_printable", """SELECT doc_id, CAST(length(regexp_replace(text, '[^\\x09-\\x0d\\x20-\\x7e]', '', 'g')) AS INTEGER) AS n
 FROM documents""")
 def t16_printable(spark, d):
     """Strip to printable ASCII."""

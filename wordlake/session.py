@@ -31,6 +31,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("WORDLAKE_DRIVER_MEM", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
         .getOrCreate()
