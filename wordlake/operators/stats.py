@@ -138,7 +138,8 @@ def differences(bins: DataFrame, order_col: str, y_col: str) -> DataFrame:
     w = Window.orderBy(order_col)
     d = bins.withColumn("d1", F.col(y_col) - F.lead(y_col).over(w))
     d = d.withColumn("d2", F.col("d1") - F.lead("d1").over(w))
-    best = d.agg(F.min_by(order_col, F.struct(-F.col("d2"), F.col(order_col))).alias("__elbow"))
+    best = d.where(F.col("d2").isNotNull()).agg(
+        F.min_by(order_col, F.struct(-F.col("d2"), F.col(order_col))).alias("__elbow"))
     return d.crossJoin(best).withColumn("is_elbow", (F.col(order_col) == F.col("__elbow")).cast("int")) \
         .drop("__elbow")
 

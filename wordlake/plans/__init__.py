@@ -1,6 +1,7 @@
 """Registered queries. Importing this package registers all of them."""
 
-from wordlake.plans import relational_queries, sequence_queries, text_queries, vector_queries  # noqa: F401
+from wordlake.plans import (  # noqa: F401
+    feature_queries, relational_queries, sequence_queries, text_queries, vector_queries)
 from wordlake.plans.registry import QUERIES, Query, Tables, query
 
 __all__ = ["QUERIES", "Query", "Tables", "query"]
