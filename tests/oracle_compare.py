@@ -53,7 +53,8 @@ def _norm(v):
 
 
 _SPARK2DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT",
-               "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "date": "DATE",
+               "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE",
+               "timestamp": "TIMESTAMP WITH TIME ZONE",
                "smallint": "SMALLINT", "tinyint": "TINYINT"}
 
 
