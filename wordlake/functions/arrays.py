@@ -115,7 +115,8 @@ def l2_norm(a) -> Column:
 
 
 def l2_normalize(a) -> Column:
-    """E5: x / ||x|| (zero vectors stay zero)."""
+    """E5: x / ||x|| (zero vectors stay zero). For long arrays prefer
+    `operators.vectors.normalize`, which computes the norm once per row."""
     n = l2_norm(a)
     return F.transform(_c(a), lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))
 

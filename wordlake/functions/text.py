@@ -137,9 +137,13 @@ def join_tokens(tokens, sep: str = " ") -> Column:
     return F.array_join(_c(tokens), sep)
 
 
+def trigram_text(col) -> Column:
+    """Letters only, lower case, padded with one space (input of trigrams)."""
+    return F.concat(F.lit(" "), F.lower(F.regexp_replace(_c(col), r"(?U)[^\p{L}]+", " ")), F.lit(" "))
+
+
 def character_trigrams(col) -> Column:
-    """Padded, lower-cased character trigrams of a text (used by T17)."""
-    s = F.concat(F.lit(" "), F.lower(F.regexp_replace(_c(col), r"(?U)[^\p{L}]+", " ")), F.lit(" "))
-    n = F.length(s)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(s, i, 3))) \
-        .otherwise(F.array().cast("array<string>"))
+    """Overlapping character trigrams in one linear regex pass (a zero-width
+    look-ahead capturing the next three characters at every position);
+    indexing with substring would rescan the UTF-8 text for every trigram."""
+    return F.regexp_extract_all(_c(col), F.lit(r"(?s)(?=(.{3}))"), F.lit(1))

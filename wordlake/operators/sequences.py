@@ -123,13 +123,16 @@ def sentence_word_pairs(df: DataFrame, sents_col: str, window: int, keys, pad: s
     just before its first word (forward) and just after its last (backward),
     pads outside the document; the true sentence length is kept."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    s = F.col(sents_col)
-    words = F.flatten(s)
-    n = F.size(words)
-    lens = F.transform(s, lambda x: F.size(x))
+    # materialize the flattened words, their count and the sentence starts
+    # once per row: lambda bodies are evaluated per element
+    df = df.select(*keys, F.col(sents_col).alias("__s"), F.flatten(sents_col).alias("__words"),
+                   F.transform(sents_col, lambda x: F.size(x)).alias("__lens"))
+    df = df.select(*keys, "__s", "__words", F.size("__words").alias("__n"), F.transform(
+        "__lens", lambda x, k: F.aggregate(F.slice("__lens", 1, k), F.lit(0), lambda a, y: a + y)).alias("__start"))
+    s, words, n = F.col("__s"), F.col("__words"), F.col("__n")
 
     def at(sent, k):
-        start = F.aggregate(F.slice(lens, 1, k), F.lit(0), lambda acc, x: acc + x)  # 0-based first word
+        start = F.element_at("__start", k + 1)  # 0-based first word of the sentence
         end = start + F.size(sent) - 1
 
         def ctx(j):

@@ -70,8 +70,11 @@ def with_special_vectors(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def normalize(vectors: DataFrame, col: str = "vec", out: str | None = None) -> DataFrame:
-    """E5: l2-normalize (zero vectors stay zero)."""
-    return vectors.withColumn(out or col, ar.l2_normalize(col))
+    """E5: l2-normalize (zero vectors stay zero). The norm is a column of its
+    own, computed once per row rather than once per element."""
+    n = vectors.withColumn("__norm", ar.l2_norm(col))
+    return n.withColumn(out or col, F.transform(col, lambda x: F.when(F.col("__norm") == 0, F.lit(0.0))
+                                                  .otherwise(x.cast("double") / F.col("__norm")))).drop("__norm")
 
 
 def text_vectors(tokens: DataFrame, vectors: DataFrame, key, dim: int, token_col: str = "token",

@@ -109,7 +109,7 @@ _SENT_WORDS_SQL = f"""(SELECT doc_id, list_transform({q.sentences('text')}, lamb
     generate_subscripts(s, 1) AS k FROM {_SENT_WORDS_SQL}),
 y AS (SELECT doc_id, k - 1 AS sent_id, s[k] AS sent, words,
     CAST(coalesce(list_sum(list_transform(s[1:k - 1], lambda z: len(z))), 0) AS BIGINT) AS st FROM x)
-SELECT doc_id, sent_id, o AS offset, array_to_string(sent, ' ') AS sentence, len(sent) AS length,
+SELECT doc_id, sent_id, o AS offset, array_to_string(sent, ' ') AS sentence, CAST(len(sent) AS INTEGER) AS length,
   CASE WHEN o < 0 THEN (CASE WHEN st + o >= 0 AND st + o < len(words) THEN words[st + o + 1] ELSE '--' END)
        ELSE (CASE WHEN st + len(sent) - 1 + o < len(words) THEN words[st + len(sent) - 1 + o + 1] ELSE '--' END)
   END AS context
@@ -364,3 +364,56 @@ def c07_context_cloud(spark, d):
     phrase = t.benchmark.join(first, "item_id").select(F.explode(tx.letters_only_words("text")).alias("word"))
     c = co.context_cloud(m, phrase, ENGLISH_STOP_WORDS, 10)
     return c.select("col_word", F.round("score", R6).alias("score"))
+
+
+_CONV_VOCAB_SQL = f"""(SELECT token AS symbol, row_number() OVER (ORDER BY count(*) DESC, token DESC) - 1 AS idx
+  FROM (SELECT unnest(w) AS token FROM {_CONV_W}) GROUP BY token)"""
+_CONV_IDS_SQL = f"""(WITH t AS (SELECT conv_id, turn, generate_subscripts(w, 1) AS pos, unnest(w) AS token FROM {_CONV_W})
+  SELECT t.conv_id, t.turn, list(v.idx ORDER BY t.pos) AS ids FROM t JOIN {_CONV_VOCAB_SQL} v ON t.token = v.symbol
+  GROUP BY t.conv_id, t.turn)"""
+
+
+@query("v19_pair_dataset", f"""WITH e AS {_CONV_IDS_SQL}, r AS (SELECT conv_id, turn, role FROM conversations)
+SELECT a.conv_id, a.turn, md5(array_to_string(a.ids, ',')) AS ha, md5(array_to_string(b.ids, ',')) AS hb,
+  CAST(ra.role = rb.role AS INTEGER) AS label
+FROM e a JOIN e b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+JOIN r ra ON ra.conv_id = a.conv_id AND ra.turn = a.turn JOIN r rb ON rb.conv_id = b.conv_id AND rb.turn = b.turn""")
+def v19_pair_dataset(spark, d):
+    """Pair dataset: two encoded texts (turn t and t+1) plus a label
+    (1 when both turns have the same role)."""
+    t = Tables(spark, d)
+    c = t.conversations.select("conv_id", "turn", "role", tx.letters_only_words("text").alias("w"))
+    vocab = vb.frequency_vocabulary(vb.token_table(c, "w", ["conv_id", "turn"]))
+    enc = vb.encode_arrays(c, "w", vocab, "ids", unk_idx=None, keys=["conv_id", "turn"]).where(F.size("ids") > 0)
+    a = enc.select("conv_id", "turn", F.col("role").alias("ra"), F.col("ids").alias("ia"))
+    b = enc.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("rb"), F.col("ids").alias("ib"))
+    p = a.join(b, ["conv_id", "turn"])
+    return p.select("conv_id", "turn", F.md5(ar.int_array_string("ia")).alias("ha"),
+                    F.md5(ar.int_array_string("ib")).alias("hb"), (F.col("ra") == F.col("rb")).cast("int").alias("label"))
+
+
+_WV_SQL = f"""(SELECT v.symbol AS word, CAST(e.embedding AS DOUBLE[]) AS vec
+  FROM {_VOCAB_SQL} v JOIN embeddings e ON v.idx = e.vec_id)"""
+
+
+@query("v20_expand_vectors", f"""WITH p AS (SELECT conv_id, turn,
+    CASE WHEN len(w) >= 10 THEN w[len(w) - 9:] ELSE list_concat(repeat([''], 10 - len(w)), w) END AS w FROM {_CONV_W}),
+t AS (SELECT conv_id, turn, generate_subscripts(w, 1) AS pos, unnest(w) AS token FROM p),
+x AS (SELECT conv_id, turn, pos, coalesce(wv.vec, repeat([0.0], 64)) AS vec FROM t LEFT JOIN {_WV_SQL} wv ON t.token = wv.word)
+SELECT conv_id, turn, CAST(len(flatten(list(vec ORDER BY pos))) AS INTEGER) AS n_features,
+  round(list_sum(flatten(list(vec ORDER BY pos))), 6) AS s FROM x GROUP BY conv_id, turn""")
+def v20_expand_vectors(spark, d):
+    """Left-padded (10) token sequences expanded into one concatenated
+    feature vector (10 x 64) from the word-vector table; zeros for pads and
+    unknown words."""
+    from wordlake.operators import relational as rl
+    t = Tables(spark, d)
+    words, vocab = _vocab_docs(t)
+    e = t.embeddings.select(F.col("vec_id").alias("idx"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    wv = vocab.join(e, "idx").select(F.col("symbol").alias("word"), "vec")
+    c = _conv_words(t).select("conv_id", "turn", ar.pad_left("w", 10, "").alias("w"))
+    toks = vb.token_table(c, "w", ["conv_id", "turn"])
+    looked = rl.lookup_with_default(toks, wv, "token", "word", "vec", F.array_repeat(F.lit(0.0), 64))
+    seq = vb.collect_sequence(looked, ["conv_id", "turn"], "pos", "vec", "vecs")
+    flat = seq.select("conv_id", "turn", F.flatten("vecs").alias("f"))
+    return flat.select("conv_id", "turn", F.size("f").alias("n_features"), F.round(ar.array_sum("f"), R6).alias("s"))
