@@ -234,7 +234,7 @@ def k04_accuracy_by_lang(spark, d):
 
 
 @query("k05_weighted_auc", """WITH s AS (SELECT CAST(embedding[1] AS DOUBLE) AS s, CAST(label >= 5 AS INTEGER) AS y,
-  CASE WHEN label = 0 THEN 0.0 ELSE 1.0 END AS w FROM embeddings),
+  CAST(CASE WHEN label = 0 THEN 0.0 ELSE 1.0 END AS DOUBLE) AS w FROM embeddings),
 per AS (SELECT s, sum(CASE WHEN y = 1 THEN w ELSE 0.0 END) AS wp, sum(CASE WHEN y = 0 THEN w ELSE 0.0 END) AS wn
   FROM s GROUP BY s),
 b AS (SELECT wp, wn, coalesce(sum(wn) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS nb FROM per)

@@ -142,7 +142,7 @@ def o04_topk_per_row(spark, d):
     return e.select("vec_id", ar.int_array_string(ar.top_k_indices("embedding", 3)).alias("top3"))
 
 
-@query("o06_argmax", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax FROM embeddings")
+@query("o06_argmax", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS argmax FROM embeddings")
 def o06_argmax(spark, d):
     """Argmax of each vector."""
     e = Tables(spark, d).embeddings

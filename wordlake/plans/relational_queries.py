@@ -299,7 +299,7 @@ def a10_class_balance(spark, d):
 
 
 @query("a11_corpus_stats", f"""WITH t AS (SELECT doc_id, {q.letters_only_words('text')} AS w FROM documents)
-SELECT count(*) AS n_sequences, sum(len(w)) AS n_tokens, max(len(w)) AS longest,
+SELECT count(*) AS n_sequences, CAST(sum(len(w)) AS BIGINT) AS n_tokens, CAST(max(len(w)) AS INTEGER) AS longest,
   (SELECT count(DISTINCT x) FROM (SELECT unnest(w) AS x FROM t)) AS n_symbols FROM t""")
 def a11_corpus_stats(spark, d):
     """Sequences, tokens, longest sequence, distinct symbols."""

@@ -159,7 +159,7 @@ pv AS (SELECT count(*) + 1 AS pad FROM v),
 r AS (SELECT doc_id, ids, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM e),
 b AS (SELECT doc_id, ids, CAST(floor(rn / 32) AS BIGINT) AS batch_id FROM r WHERE rn < floor(n / 32) * 32),
 m AS (SELECT batch_id, max(len(ids)) AS mx FROM b GROUP BY batch_id)
-SELECT doc_id, b.batch_id, len(ids) AS length, mx AS padded_len,
+SELECT doc_id, b.batch_id, CAST(len(ids) AS INTEGER) AS length, CAST(mx AS INTEGER) AS padded_len,
   md5(array_to_string(list_concat(ids, repeat([pad], mx - len(ids))), ',')) AS h,
   CAST(len(ids) AS DOUBLE) AS mask_sum
 FROM b JOIN m ON b.batch_id = m.batch_id CROSS JOIN pv""")

@@ -239,7 +239,7 @@ SELECT t.doc_id, list(coalesce(v.idx, 0) ORDER BY t.pos) AS ids
 FROM t LEFT JOIN v ON t.token = v.symbol GROUP BY t.doc_id)"""
 
 
-@query("v05_encode", f"""SELECT doc_id, len(ids) AS n, md5(array_to_string(ids, ',')) AS h FROM {_ENC_SQL}""")
+@query("v05_encode", f"""SELECT doc_id, CAST(len(ids) AS INTEGER) AS n, md5(array_to_string(ids, ',')) AS h FROM {_ENC_SQL}""")
 def v05_encode(spark, d):
     """Encode token sequences with a capped vocabulary (UNK = 0)."""
     e = _encoded_docs(Tables(spark, d)).where(F.size("ids") > 0)
