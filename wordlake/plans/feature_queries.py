@@ -213,3 +213,41 @@ def o05_ranked_columns(spark, d):
     tot = toks.groupBy("term").agg(F.count(F.lit(1)).alias("total"))
     top = rl.top_n(tot, 100, [F.desc("total"), F.asc("term")])
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), F.asc("term"))).cast("long"))
+
+
+_CHARS_SQL = """(WITH v AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM benchmark),
+c AS (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) GROUP BY ch),
+r AS (SELECT c.ch, c.n FROM c JOIN v ON c.ch = v.ch)
+SELECT ch, sum(n) OVER (ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(n) OVER () AS cum FROM r)"""
+
+
+def _hu(expr: str, seed: int) -> str:
+    return f"CAST(('0x' || substr(md5({expr} || ':{seed}'), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+@query("v16_corruption", f"""WITH cd AS {_CHARS_SQL},
+x AS (SELECT item_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS ch FROM
+  (SELECT item_id, string_split(text, '') AS s FROM benchmark)),
+u AS (SELECT item_id, pos, ch, {_hu("CAST(item_id AS VARCHAR) || '|' || CAST(pos AS VARCHAR)", 1)} AS u1,
+  {_hu("CAST(item_id AS VARCHAR) || '|' || CAST(pos AS VARCHAR)", 2)} AS u2 FROM x)
+SELECT item_id, pos, CASE WHEN u1 < 0.15 THEN (SELECT min_by(cd.ch, cd.cum) FROM cd WHERE cd.cum > u.u2) ELSE ch END AS ch,
+  CAST(u1 < 0.15 AS INTEGER) AS truth FROM u""")
+def v16_corruption(spark, d):
+    """Each character replaced with probability 0.15 by a character drawn
+    from the A14 distribution (seeded inverse CDF); truth = 1 where replaced.
+    The cumulative table is bounded by the character vocabulary and travels
+    as one broadcast row of two arrays."""
+    t = Tables(spark, d)
+    vocab = t.benchmark.select(F.explode(tx.characters("text")).alias("ch")).distinct()
+    counts = t.documents.select(F.explode(tx.characters("text")).alias("ch")).groupBy("ch") \
+        .agg(F.count(F.lit(1)).alias("n")).join(vocab, "ch", "left_semi")
+    cum = counts.select("ch", (F.sum("n").over(Window.orderBy("ch").rowsBetween(Window.unboundedPreceding, 0))
+                               / F.sum("n").over(Window.partitionBy())).alias("cum"))
+    table = cum.agg(F.sort_array(F.collect_list(F.struct("cum", "ch"))).alias("__t"))
+    x = t.benchmark.select("item_id", F.posexplode(tx.characters("text")).alias("pos", "ch"))
+    key = F.concat_ws("|", F.col("item_id").cast("string"), F.col("pos").cast("string"))
+    u = x.select("item_id", F.col("pos").cast("long").alias("pos"), "ch",
+                 mt.hash_unit(key, 1).alias("u1"), mt.hash_unit(key, 2).alias("u2")).crossJoin(F.broadcast(table))
+    drawn = F.element_at(F.filter("__t", lambda e: e["cum"] > F.col("u2")), 1)["ch"]
+    return u.select("item_id", "pos", F.when(F.col("u1") < 0.15, drawn).otherwise(F.col("ch")).alias("ch"),
+                    (F.col("u1") < 0.15).cast("int").alias("truth"))
