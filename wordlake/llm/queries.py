@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordlake.llm.bpe import bpe_decode, bpe_encode
+from wordlake.llm.lm_scoring import lm_scores
 from wordlake.llm.mixing import mix_sources
 from wordlake.llm.quality import quality_rules
 from wordlake.llm.revisits import resolve_revisits
@@ -21,6 +22,13 @@ BUDGET_SHARE = 0.8
 MAX_EPOCHS = 4
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the lattice model of those whose crc32 mod 10 is not 0."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    scores = lm_scores(table(spark, sf_dir, "documents"), PIECES, train=~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), *scores.columns[1:])
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compression bands over all documents."""
     return quality_rules(table(spark, sf_dir, "documents"))
@@ -125,5 +133,5 @@ select record_id, canonical_url, ts, outcome, case when outcome = 'resolved' the
   case when outcome = 'resolved' then 'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || page_id || 'r' || chr(10)
     || 'etag: ' || (select any_value(k.digest) from k where k.page_id = o.page_id) end as headers from o"""
 
-LLM_QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_source_mixing, op7_token_counts, op9_bpe_round_trip, op10_warc_revisits)}
+LLM_QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_quality_rules, op5_source_mixing, op7_token_counts, op9_bpe_round_trip, op10_warc_revisits)}
 LLM_SQL = {"op5_source_mixing": _op5_sql(), "op10_warc_revisits": OP10_SQL}
