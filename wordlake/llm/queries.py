@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordlake.llm.bpe import bpe_decode, bpe_encode
+from wordlake.llm.jaccard_join import jaccard_components
 from wordlake.llm.lm_scoring import lm_scores
 from wordlake.llm.mixing import mix_sources
 from wordlake.llm.quality import quality_rules
@@ -34,6 +35,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the group of documents that links of 5-word shingles (Jaccard 0.8) reach."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's part in a mix of 0.8 times the corpus, at most 4 epochs a leaf."""
     return mix_sources(table(spark, sf_dir, "documents"), WEIGHTS, BUDGET_SHARE, MAX_EPOCHS)
@@ -133,5 +139,5 @@ select record_id, canonical_url, ts, outcome, case when outcome = 'resolved' the
   case when outcome = 'resolved' then 'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || page_id || 'r' || chr(10)
     || 'etag: ' || (select any_value(k.digest) from k where k.page_id = o.page_id) end as headers from o"""
 
-LLM_QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_quality_rules, op5_source_mixing, op7_token_counts, op9_bpe_round_trip, op10_warc_revisits)}
+LLM_QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_quality_rules, op4_ngram_jaccard, op5_source_mixing, op7_token_counts, op9_bpe_round_trip, op10_warc_revisits)}
 LLM_SQL = {"op5_source_mixing": _op5_sql(), "op10_warc_revisits": OP10_SQL}
