@@ -12,6 +12,7 @@ from wordlake.llm.lm_scoring import lm_scores
 from wordlake.llm.mixing import mix_sources
 from wordlake.llm.quality import quality_rules
 from wordlake.llm.revisits import resolve_revisits
+from wordlake.llm.suffix_dedup import suffix_dedup
 from wordlake.llm.token_counts import token_counts
 from wordlake.sources.tables import table
 
@@ -50,6 +51,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that 100-byte strings repeat from earlier ones."""
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; digests of the ids and of the decoded bytes."""
     t = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), RANKS), RANKS)
@@ -139,5 +145,5 @@ select record_id, canonical_url, ts, outcome, case when outcome = 'resolved' the
   case when outcome = 'resolved' then 'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || page_id || 'r' || chr(10)
     || 'etag: ' || (select any_value(k.digest) from k where k.page_id = o.page_id) end as headers from o"""
 
-LLM_QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_quality_rules, op4_ngram_jaccard, op5_source_mixing, op7_token_counts, op9_bpe_round_trip, op10_warc_revisits)}
+LLM_QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_quality_rules, op4_ngram_jaccard, op5_source_mixing, op7_token_counts, op8_suffix_dedup, op9_bpe_round_trip, op10_warc_revisits)}
 LLM_SQL = {"op5_source_mixing": _op5_sql(), "op10_warc_revisits": OP10_SQL}
