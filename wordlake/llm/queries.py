@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordlake.llm.bpe import bpe_decode, bpe_encode
+from wordlake.llm.embedding_dedup import embedding_components
 from wordlake.llm.jaccard_join import jaccard_components
 from wordlake.llm.lm_scoring import lm_scores
 from wordlake.llm.mixing import mix_sources
@@ -14,6 +15,7 @@ from wordlake.llm.quality import quality_rules
 from wordlake.llm.revisits import resolve_revisits
 from wordlake.llm.suffix_dedup import suffix_dedup
 from wordlake.llm.token_counts import token_counts
+from wordlake.llm.toxicity import toxicity
 from wordlake.sources.tables import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -36,6 +38,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with their links (cosine 0.95) and components."""
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the group of documents that links of 5-word shingles (Jaccard 0.8) reach."""
     return jaccard_components(table(spark, sf_dir, "documents"))
@@ -46,6 +53,13 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), WEIGHTS, BUDGET_SHARE, MAX_EPOCHS)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the network fitted on labels of those whose crc32 mod 5 is not 0."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    scores = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of the best segmentation of every document."""
     return token_counts(table(spark, sf_dir, "documents"), PIECES)
@@ -145,5 +159,6 @@ select record_id, canonical_url, ts, outcome, case when outcome = 'resolved' the
   case when outcome = 'resolved' then 'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || page_id || 'r' || chr(10)
     || 'etag: ' || (select any_value(k.digest) from k where k.page_id = o.page_id) end as headers from o"""
 
-LLM_QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_quality_rules, op4_ngram_jaccard, op5_source_mixing, op7_token_counts, op8_suffix_dedup, op9_bpe_round_trip, op10_warc_revisits)}
+LLM_QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_quality_rules, op3_projection_passes, op4_ngram_jaccard,
+                                         op5_source_mixing, op6_toxicity, op7_token_counts, op8_suffix_dedup, op9_bpe_round_trip, op10_warc_revisits)}
 LLM_SQL = {"op5_source_mixing": _op5_sql(), "op10_warc_revisits": OP10_SQL}
