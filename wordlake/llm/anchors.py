@@ -16,8 +16,22 @@ GRAM = 32
 _PLACE = 27  # bits of a position within a block
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray):
-    """(position, first window, last window, gram hash) of the anchors of a block of texts; windows stay within a text."""
+def anchors(data: np.ndarray, offsets: np.ndarray, part_bytes: int = 1 << 20):
+    """(position, first window, last window, gram hash) of the anchors of a block of texts; windows stay within a text.
+
+    Worked out for about ``part_bytes`` at a time.
+    """
+    found, row = [], 0
+    while row < len(offsets) - 1:
+        stop = min(len(offsets) - 1, max(row + 1, int(np.searchsorted(offsets, offsets[row] + part_bytes, "right")) - 1))
+        begin = offsets[row]
+        *places, gram = _anchors(data[begin : offsets[stop]], offsets[row : stop + 1] - begin)
+        found.append([*(p + begin for p in places), gram])
+        row = stop
+    return [np.concatenate(x) for x in zip(*found)] if found else _anchors(data[:0], offsets[:1])
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray):
     n, none = len(data), np.zeros(0, np.int64)
     if n < WINDOW:
         return none, none, none, none.astype(tb.U64)

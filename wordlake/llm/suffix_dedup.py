@@ -33,7 +33,7 @@ from wordlake.session import cut_lineage
 
 BLOCK_TEXT = 48 << 20
 #: Key ranges of the merge for each block of text; anchors that a task sorts at once.
-RANGES, RUN = 4, 200_000
+RANGES, RUN = 4, 150_000
 NULL_ID = (1 << 63) - 1
 _TAIL = np.zeros(WINDOW, np.uint8)
 
@@ -59,6 +59,13 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def _taken(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of the runs [start, start + size), some at a time."""
+    size = size.astype(np.int64)
+    step = 20_000
+    return np.concatenate([data[:0], *(data[_runs(start[i : i + step], size[i : i + step])] for i in range(0, len(start), step))])
+
+
 def _prefix(right: np.ndarray) -> np.ndarray:
     """The first 8 bytes of suffixes as unsigned numbers in their order."""
     return np.ascontiguousarray(right[:, :8]).view(">u8").ravel().astype(tb.U64)
@@ -255,7 +262,7 @@ def _sorted_run(parts: list[tuple], splitters: np.ndarray, turn: int):
     order = np.argsort(np.ascontiguousarray(right).view(f"S{WINDOW}").ravel(), kind="stable")
     right, k, text, pos, least = right[order], k[order], text[order], pos[order], least[order]
     begin = np.cumsum(most.astype(np.int64)) - most
-    before, most = before[_runs(begin[order], most[order].astype(np.int64))], most[order]
+    before, most = _taken(before, begin[order], most[order]), most[order]
 
     def shared(r: np.ndarray) -> np.ndarray:
         differ = r[1:] != r[:-1]
@@ -278,7 +285,7 @@ def _sorted_run(parts: list[tuple], splitters: np.ndarray, turn: int):
         sizes = most[at].astype(np.int64)
         out[0].append(int(of[a]))
         out[1].append(_ipc(lcp=n.astype(np.uint8), rest=_binary(rest, WINDOW - n), k=k[at], text=text[at], pos=pos[at].astype(np.int32), least=least[at], most=most[at],
-                           before=_binary(before[_runs(begin[at], sizes)], sizes)))
+                           before=_binary(_taken(before, begin[at], sizes), sizes)))
         out[2].append(None)
     if own.num_rows:
         out[0].append(turn % (len(splitters) + 1))
@@ -309,9 +316,10 @@ def marked_spans(docs: DataFrame, splitters: np.ndarray) -> DataFrame:
                 padded = np.concatenate((data, _TAIL))
                 for a in range(0, len(at), RUN):
                     p, f, r = at[a : a + RUN], first[a : a + RUN], row[a : a + RUN]
-                    right = padded[p[:, None] + np.arange(WINDOW)]
-                    right[np.arange(WINDOW) >= (offsets[r + 1] - p)[:, None]] = 0  # windows end with their text
-                    parts.append((right, keys[lo:hi][r], texts[r], p - offsets[r], (p - last[a : a + RUN]).astype(np.uint8), (p - f).astype(np.uint8), data[_runs(f, p - f)]))
+                    # no window reaches further than to the end of the last one; zeros behind it change no comparison
+                    right = _taken(padded, p, np.full(len(p), WINDOW)).reshape(-1, WINDOW)
+                    right[np.arange(WINDOW, dtype=np.uint8) >= (last[a : a + RUN] + WINDOW - p).astype(np.uint8)[:, None]] = 0
+                    parts.append((right, keys[lo:hi][r], texts[r], p - offsets[r], (p - last[a : a + RUN]).astype(np.uint8), (p - f).astype(np.uint8), _taken(data, f, p - f)))
                     held += len(p)
                     if held >= RUN:
                         yield _sorted_run(parts, splitters, turn)

@@ -41,7 +41,7 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = max(n, 2 * len(_powers[0]))
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base & _MASK, U64)
             steps[0] = 1
