@@ -88,31 +88,22 @@ def test_c1_to_c5_golden(spark):
     assert _tri(co.normalize_total(co.window_pairs(df, "w", 2))) == {("a", "b"): 0.5, ("b", "a"): 0.5}
 
 
-def _brute_one_sided(words, w, skip_equal=True):
-    c = Counter()
-    window = []
-    for word in words:
-        for x in window:
-            if skip_equal and x == word:
-                continue
-            c[(word, x)] += 1
-        if len(window) == w:
-            window.pop(0)
-        window.append(word)
-    return c
+def _pairs_within(words, w, skip_equal=True):
+    """(later, earlier) word counts over all positions p < q at most w apart."""
+    return Counter((words[q], words[p]) for p, q in itertools.combinations(range(len(words)), 2)
+                   if q - p <= w and not (skip_equal and words[p] == words[q]))
+
+
+def _both_ways(counts):
+    return counts + Counter({(b, a): n for (a, b), n in counts.items()})
 
 
 def _brute_window_pairs(words, w):
+    """Pairs of each slice of w words that has a word behind it, both ways."""
     c = Counter()
-    window = []
-    for word in words:
-        for i in range(len(window) - 1):
-            for j in range(i + 1, len(window)):
-                c[(window[i], window[j])] += 1
-                c[(window[j], window[i])] += 1
-        if len(window) == w:
-            window.pop(0)
-        window.append(word)
+    for end in range(len(words)):
+        for a, b in itertools.combinations(words[max(0, end - w):end], 2):
+            c.update([(a, b), (b, a)])
     return c
 
 
@@ -124,9 +115,9 @@ def test_cooccurrence_brute_force(spark, seed):
     for w in (1, 2, 3, 5):
         exp1, exp2, exp3, exp4 = Counter(), Counter(), Counter(), Counter()
         for s in streams:
-            exp1 += _brute_one_sided(s, w)
-            exp2 += _brute_one_sided(s, w) + _brute_one_sided(s[::-1], w)
-            exp3 += _brute_one_sided(s, w, False) + _brute_one_sided(s[::-1], w, False)
+            exp1 += _pairs_within(s, w)
+            exp2 += _both_ways(_pairs_within(s, w))
+            exp3 += _both_ways(_pairs_within(s, w, False))
             exp4 += _brute_window_pairs(s, w)
         assert _tri(co.one_sided(df, "w", w)) == dict(exp1)
         assert _tri(co.two_sided(df, "w", w)) == dict(exp2)
@@ -141,13 +132,8 @@ def test_w9_skipgram_brute_force(spark):
     got = Counter((r.d, r.word, r.context) for r in sq.skipgram_pairs(df, "w", 2, "d").collect())
     exp = Counter()
     for d, s in enumerate(streams):
-        for direction in (s, s[::-1]):
-            window = ["--", "--"]
-            for word in direction:
-                for ctx in window:
-                    exp[(d, word, ctx)] += 1
-                window.pop(0)
-                window.append(word)
+        padded = ["--", "--", *s, "--", "--"]
+        exp.update((d, padded[i], padded[i + k]) for i in range(2, len(s) + 2) for k in (-2, -1, 1, 2))
     assert got == exp
 
 
@@ -155,15 +141,8 @@ def test_w11_phrase_brute_force(spark):
     s = list("abcdefg")
     df = spark.createDataFrame([(0, s)], "d long, w array<string>")
     got = sorted((r.t, r.target, r.context) for r in sq.phrase_context_pairs(df, "w", 2, 2, "d").collect())
-    left, target, right = ["--"] * 2, ["--"] * 2, ["--"] * 2
-    exp = []
-    for t, word in enumerate(s):
-        right.append(word)
-        target.append(right.pop(0))
-        left.append(target.pop(0))
-        left.pop(0)
-        for ctx in left + right:
-            exp.append((t, " ".join(target), ctx))
+    padded = ["--"] * 6 + s  # row t ends with word t: left, target and right are the three pairs up to it
+    exp = [(t, " ".join(padded[t + 3:t + 5]), ctx) for t in range(len(s)) for ctx in padded[t + 1:t + 3] + padded[t + 5:t + 7]]
     assert got == sorted(exp)
 
 
@@ -176,13 +155,11 @@ def test_v15_closed_form(spark):
         for r in df.where(F.col("m") == m).select("a", "b", la.alias("x"), lb.alias("y")).collect():
             got[(r.a, r.b, m)] = (r.x, r.y)
     for a, b, m in rows:
-        x, y = a, b
-        while x + y > m:
-            if x > y:
-                x -= 1
-            else:
-                y -= 1
-        assert got[(a, b, m)] == (x, y)
+        x, y = got[(a, b, m)]
+        assert x + y == min(a + b, m) and 0 <= x <= a and 0 <= y <= b
+        if a + b > m:  # only a side longer than the other is cut; on a tie the second
+            assert x == a or x == y or x == y + 1 or b == y
+            assert (x, y) == ((a, m - a) if a <= m // 2 + m % 2 else (m - b, b) if b <= m // 2 else (m - m // 2, m // 2))
 
 
 def test_v17_word_ends(spark):
@@ -225,10 +202,10 @@ def test_e2_compact_embedding(spark):
     assert got == [[0, 0, 0], [1, 2, 3], [2, 3, 4], [0, 1, 2]]
     assert cov.first().coverage == 0.75
     vocab = mat.where(F.col("idx") > 0).select("symbol", "idx")
-    ids = vb.encode_arrays(spark.createDataFrame([(["the", "dog", "barks", "."],)], "w array<string>"), "w", vocab,
-                           "ids", unk_idx=0, max_entries=10)
+    ids = vb.encode_arrays(spark.createDataFrame([(1, ["the", "dog", "barks", "."])], "k long, w array<string>"), "w", vocab,
+                           "ids", unk_idx=0, keys="k")
     assert ids.first().ids == [1, 2, 0, 3]
-    dec = vb.decode_arrays(ids, "ids", vocab, "<UNK>", "s", max_entries=10)
+    dec = vb.decode_arrays(ids, "ids", vocab, "<UNK>", "s", keys="k")
     assert dec.first().s == ["the", "dog", "<UNK>", "."]
 
 

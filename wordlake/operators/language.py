@@ -13,16 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordlake.functions.text import character_trigrams, trigram_text
-from wordlake.operators.relational import top_n_per_group
 
 
-def train_profiles(labelled: DataFrame, text_col: str, lang_col: str, top: int = 400) -> DataFrame:
+def train_profiles(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     norm = labelled.select(F.col(lang_col).alias("lang"), trigram_text(text_col).alias("__t"))
     tri = norm.select("lang", F.explode(character_trigrams("__t")).alias("tri"))
     counts = tri.groupBy("lang", "tri").agg(F.count(F.lit(1)).alias("c"))
     totals = counts.groupBy("lang").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("v"))
-    best = top_n_per_group(counts, ["lang"], [F.desc("c"), F.asc("tri")], top)
-    j = best.join(F.broadcast(totals), "lang")
+    j = counts.join(totals, "lang")
     return j.select("lang", "tri", (F.log(F.col("c") + 1) - F.log(F.col("total") + F.col("v"))).alias("logp"),
                     (-F.log(F.col("total") + F.col("v"))).alias("floor"))
 
@@ -32,7 +30,7 @@ def detect(texts: DataFrame, key: str, text_col: str, profiles: DataFrame, out:
     norm = texts.select(key, trigram_text(text_col).alias("__t"))
     tri = norm.select(key, F.explode(character_trigrams("__t")).alias("tri")) \
         .groupBy(key, "tri").agg(F.count(F.lit(1)).alias("n"))
-    s = tri.join(F.broadcast(profiles), "tri").groupBy(key, "lang").agg(
+    s = tri.join(profiles, "tri").groupBy(key, "lang").agg(
         F.sum(F.col("n") * (F.col("logp") - F.col("floor"))).alias("score"))
     best = s.groupBy(key).agg(F.max_by("lang", F.struct("score", F.col("lang"))).alias(out))
     return texts.select(key).join(best, key, "left")

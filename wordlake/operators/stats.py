@@ -148,20 +148,22 @@ def fit_exponential_decay(points: DataFrame, x_col: str, y_col: str, iterations:
     """Least-squares y = a * exp(-b x) on a bounded point table (bins).
 
     Start from the log-linear fit (regr_slope/regr_intercept of ln y), then
-    Gauss-Newton steps; each step is one aggregate giving the 2x2 normal
-    equations. Returns the parameters (driver scalars, not data)."""
+    Gauss-Newton steps on the bins, which are computed once. ``points`` has
+    one row per bin, so its size is a parameter, not the data's."""
     x, y = F.col(x_col).cast("double"), F.col(y_col).cast("double")
-    pos = points.where(y > 0)
-    r = pos.agg(F.regr_slope(F.log(y), x).alias("s"), F.regr_intercept(F.log(y), x).alias("i")).first()
-    a = math.exp(r["i"]) if r["i"] is not None else 1.0
-    b = -(r["s"] or 0.0)
+    bins = [(r.x, r.y) for r in points.select(x.alias("x"), y.alias("y")).dropna().collect()]
+    logs = [(u, math.log(v)) for u, v in bins if v > 0]
+    mx, ml = (sum(p[i] for p in logs) / max(1, len(logs)) for i in (0, 1))
+    spread = sum((u - mx) ** 2 for u, _ in logs)
+    slope = sum((u - mx) * (v - ml) for u, v in logs) / spread if spread else 0.0
+    a, b = math.exp(ml - slope * mx), -slope
     for _ in range(iterations):
-        e = F.exp(-F.lit(b) * x)
-        f = F.lit(a) * e
-        ja, jb = e, -x * f
-        res = y - f
-        s = points.agg(F.sum(ja * ja).alias("aa"), F.sum(ja * jb).alias("ab"), F.sum(jb * jb).alias("bb"),
-                       F.sum(ja * res).alias("ar"), F.sum(jb * res).alias("br")).first()
+        s = dict.fromkeys(("aa", "ab", "bb", "ar", "br"), 0.0)
+        for u, v in bins:
+            ja = math.exp(-b * u)
+            jb, res = -a * u * ja, v - a * ja
+            for k, t in (("aa", ja * ja), ("ab", ja * jb), ("bb", jb * jb), ("ar", ja * res), ("br", jb * res)):
+                s[k] += t
         det = s["aa"] * s["bb"] - s["ab"] ** 2
         if not det:
             break

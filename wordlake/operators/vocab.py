@@ -130,39 +130,12 @@ def keras_index(tokens: DataFrame, order_cols, token_col: str = "token") -> Data
     return global_index(f, [F.desc("freq"), F.asc("__first")], "idx", 1).drop("__first")
 
 
-# A vocabulary capped at this many entries (a proven bound, e.g. V3's N) is
-# shipped inside the plan as a map literal, so encoding is a narrow
-# `transform` with no explode/regroup shuffle. Larger ones use a join.
-MAP_LOOKUP_LIMIT = 50_000
-
-
-def _bounded_map(vocab: DataFrame, key: str, value: str, max_entries: int | None):
-    if max_entries is None or max_entries > MAP_LOOKUP_LIMIT:
-        return None
-    rows = vocab.select(key, value).limit(max_entries + 1).collect()
-    if len(rows) > max_entries:
-        return None
-    if not rows:
-        return F.create_map().cast(f"map<{vocab.schema[key].dataType.simpleString()},"
-                                   f"{vocab.schema[value].dataType.simpleString()}>")
-    return F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
-
-
 def encode_arrays(df: DataFrame, arr_col: str, vocab: DataFrame, out: str = "ids", unk_idx: int | None = 0,
-                  max_entries: int | None = None, keys=None) -> DataFrame:
+                  keys=None) -> DataFrame:
     """V5 over whole sequences: array<string> -> array<long>, order kept.
 
-    Bounded vocabularies -> map lookup inside `transform` (narrow).
-    Otherwise: explode, join, re-collect per key (``keys`` required)."""
-    m = _bounded_map(vocab, "symbol", "idx", max_entries)
-    if m is not None:
-        def look(x):
-            v = F.try_element_at(m, x).cast("long")
-            return v if unk_idx is None else F.coalesce(v, F.lit(unk_idx).cast("long"))
-        ids = F.transform(arr_col, look)
-        if unk_idx is None:
-            ids = F.filter(ids, lambda v: v.isNotNull())
-        return df.withColumn(out, ids)
+    Explode, join, re-collect per key; a row without known symbols has an
+    empty array. The vocabulary is never collected."""
     keys = [keys] if isinstance(keys, str) else list(keys or [])
     toks = token_table(df.select(*keys, arr_col), arr_col, keys)
     enc = encode(toks, vocab, "token", unk_idx, "__id")
@@ -172,11 +145,8 @@ def encode_arrays(df: DataFrame, arr_col: str, vocab: DataFrame, out: str = "ids
 
 
 def decode_arrays(df: DataFrame, ids_col: str, vocab: DataFrame, unk: str = "<UNK>", out: str = "symbols",
-                  max_entries: int | None = None, keys=None) -> DataFrame:
+                  keys=None) -> DataFrame:
     """V6 over whole sequences: array<long> -> array<string> (misses -> unk)."""
-    m = _bounded_map(vocab, "idx", "symbol", max_entries)
-    if m is not None:
-        return df.withColumn(out, F.transform(ids_col, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(unk))))
     keys = [keys] if isinstance(keys, str) else list(keys or [])
     rows = df.select(*keys, F.posexplode(ids_col).alias("pos", "__i"))
     dec = decode(rows, vocab, "__i", unk, "__s")

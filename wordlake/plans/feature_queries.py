@@ -69,14 +69,14 @@ def n05_sigmoid(spark, d):
     return e.select("event_id", F.round("s", R6).alias("s"), F.round(mt.sigmoid("s", derivative=True), R6).alias("ds"))
 
 
-@query("n06_temperature_softmax", """WITH a AS (SELECT vec_id, list_transform(CAST(embedding[1:8] AS DOUBLE[]),
+@query("n06_temperature_softmax", """WITH a AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]),
     lambda x: exp(ln(x * x + 0.001) / 0.5)) AS e FROM embeddings),
 p AS (SELECT vec_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM a)
 SELECT vec_id, generate_subscripts(p, 1) - 1 AS i, round(unnest(p), 6) AS p FROM p""")
 def n06_temperature_softmax(spark, d):
-    """Temperature softmax (T = 0.5) over the first 8 squared coordinates."""
+    """Temperature softmax (T = 0.5) over the squared coordinates."""
     e = Tables(spark, d).embeddings.select(
-        "vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * x.cast("double") + 0.001).alias("a"))
+        "vec_id", F.transform("embedding", lambda x: x.cast("double") * x.cast("double") + 0.001).alias("a"))
     p = e.select("vec_id", mt.temperature_softmax("a", 0.5).alias("p"))
     return p.select("vec_id", F.posexplode("p").alias("i", "p")).select(
         "vec_id", F.col("i").cast("long").alias("i"), F.round("p", R6).alias("p"))
@@ -86,7 +86,7 @@ def n06_temperature_softmax(spark, d):
 def n06_draw(spark, d):
     """N6 draw: one symbol (dimension) per vector by a seeded inverse CDF."""
     e = Tables(spark, d).embeddings.select(
-        "vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * x.cast("double") + 0.001).alias("a"))
+        "vec_id", F.transform("embedding", lambda x: x.cast("double") * x.cast("double") + 0.001).alias("a"))
     p = e.select("vec_id", mt.temperature_softmax("a", 0.5).alias("p"), mt.hash_unit("vec_id", 7).alias("u"))
     return p.select("vec_id", mt.draw_index("p", "u").alias("drawn"))
 

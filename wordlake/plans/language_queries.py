@@ -68,7 +68,10 @@ def st01_stream_clean(spark, d):
     drained with availableNow into a parquet sink, then read back."""
     schema = Tables(spark, d).documents.schema
     base = fs.scratch_dir(spark, "st01")
-    stream = rw.file_stream(spark, d, schema, glob="documents.parquet")
+    path = f"{d.rstrip('/')}/documents.parquet"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+    stream = rw.file_stream(spark, path, schema) if folder else rw.file_stream(spark, d, schema, glob="documents.parquet")
 
     def clean(s):
         w = tx.clean_words("text")

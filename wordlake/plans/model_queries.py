@@ -102,15 +102,10 @@ def e12_svd_dense(spark, d):
 
 @query("e14_word2vec")
 def e14_word2vec(spark, d):
-    """Skip-gram word vectors (dim 30, min count 5) and the 10 synonyms
-    of the most frequent word."""
+    """Skip-gram word vectors (dim 30, min count 5) of all words."""
     t = Tables(spark, d)
     words = t.documents.select(tx.letters_only_words("text").alias("w"))
-    model, vecs = ve.train_word2vec(words, "w", 30, 5)
-    top = vb.frequencies(vb.token_table(t.documents.select("doc_id", tx.letters_only_words("text").alias("w")),
-                                        "w", "doc_id")).orderBy(F.desc("freq"), F.desc("symbol")).first()
-    syn = model.findSynonyms(top["symbol"], 10).select(F.lit(top["symbol"]).alias("query"), "word", "similarity")
-    return syn.join(vecs, "word").select("query", "word", "similarity", F.size("vec").alias("dim"))
+    return ve.train_word2vec(words, "w", 30, 5)[1]
 
 
 def _labelled_features(t):

@@ -46,6 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a scratch one only if unset."""
     conf = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="wordlake-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, conf)
     if spark.sparkContext.getCheckpointDir() is None:

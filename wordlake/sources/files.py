@@ -8,6 +8,7 @@ task, never on the driver.
 
 from __future__ import annotations
 
+import re
 import io
 import os
 
@@ -34,10 +35,17 @@ def read_csv_escaped(spark: SparkSession, path: str, schema, header: bool = True
 
 
 def read_token_rows(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """S3: header-less rows 'id,tok1,tok2,...' of any length -> (id, tokens)."""
-    parts = F.split(F.col("value"), sep)
-    return spark.read.text(path).select(parts[0].cast("long").alias("id"),
-                                        F.array_compact(F.slice(parts, 2, F.size(parts) - 1)).alias("tokens"))
+    """S3: header-less rows 'id,tok1,tok2,...' of any length -> (id, tokens).
+
+    A token in double quotes may hold the separator; a doubled quote stands
+    for one. Empty fields at the end pad short rows and are dropped."""
+    mark = re.escape(sep)
+    fields = F.regexp_extract_all(F.concat(F.lit(sep), F.col("value")), F.lit(f'{mark}("(?:[^"]|"")*"|[^{mark}]*)'), 1)
+    rows = spark.read.text(path).select(fields.alias("f"))
+    plain = F.transform("f", lambda t: F.when(t.startswith('"'), F.replace(t.substr(F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"'))).otherwise(t))
+    rows = rows.select(plain.alias("f"))
+    last = F.coalesce(F.array_max(F.transform("f", lambda t, i: F.when(t != "", i + 1))), F.lit(1))
+    return rows.select(F.col("f")[0].cast("long").alias("id"), F.slice("f", F.lit(2), last - 1).alias("tokens"))
 
 
 def read_tsv_column(spark: SparkSession, path: str, index: int, name: str = "text") -> DataFrame:
