@@ -149,6 +149,6 @@ def decode_arrays(df: DataFrame, ids_col: str, vocab: DataFrame, unk: str = "<UN
     """V6 over whole sequences: array<long> -> array<string> (misses -> unk)."""
     keys = [keys] if isinstance(keys, str) else list(keys or [])
     rows = df.select(*keys, F.posexplode(ids_col).alias("pos", "__i"))
-    dec = decode(rows, vocab, "__i", unk, "__s")
-    seq = collect_sequence(dec, keys, "pos", "__s", out)
+    dec = decode(rows, vocab, "__i", unk, "__sym")
+    seq = collect_sequence(dec, keys, "pos", "__sym", out)
     return df.join(seq, keys, "left")
