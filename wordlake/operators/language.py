@@ -1,8 +1,8 @@
 """Language identification as a profile-scoring job.
 
 Profiles: character-trigram log-probabilities per language, trained from
-labelled rows, the top ``n`` trigrams per language (partial top-n). Scoring:
-explode a text's trigrams, join the (bounded, broadcast) profile table, sum
+labelled rows, over all trigrams of a language. Scoring: explode a text's
+trigrams, join the profile table, sum
 count x (log p - log p_unseen) per language, keep the best. Texts with no
 profile trigram get NULL (the reference returns False on failure).
 """

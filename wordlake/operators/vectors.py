@@ -2,13 +2,15 @@
 SVD and word-vector training (E1-E14).
 
 A vector table is ``(word, vec array<double>)``. Nearest-neighbour search
-broadcasts only the query side, behind a counted bound; the candidate table
-stays partitioned and each partition keeps only its top k per query
-(``row_number() <= k`` is planned with a partial WindowGroupLimit).
+packs both sides into blocks of rows; each pair of blocks is one matrix
+product that keeps its top k per query, and the kept rows are merged.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 from wordlake.functions import arrays as ar
 from wordlake.operators.ordering import global_index
 from wordlake.operators.relational import top_n_per_group
+from wordlake.session import cut_lineage
 
-MAX_BROADCAST_QUERIES = 10_000
+BLOCK_ROWS = 2048
 
 
 def zeros(dim: int):
@@ -92,41 +95,70 @@ def text_vectors(tokens: DataFrame, vectors: DataFrame, key, dim: int, token_col
     return normalize(out) if normalize_out else out
 
 
-def _checked_queries(queries: DataFrame, max_queries: int) -> DataFrame:
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"{n}+ queries exceed the broadcast bound {max_queries}; "
-                         "use blocking/LSH for large x large similarity")
-    return F.broadcast(queries)
+def _packed(rows: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Blocks of at most ``BLOCK_ROWS`` rows: ``<prefix>_keys`` and the flat
+    ``<prefix>_vecs``. Null vectors are left out."""
+    src = rows.select(F.col(key).alias("key"), as_double_vec("vec").alias("vec")).where(F.col("vec").isNotNull())
+    kind = src.schema["key"].dataType.simpleString()
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                keys, vecs = part.column(0), part.column(1).flatten()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (keys, vecs)],
+                    names=[f"{prefix}_keys", f"{prefix}_vecs"])
+    return src.mapInArrow(pack, f"{prefix}_keys array<{kind}>, {prefix}_vecs array<double>")
+
+
+def _scores(q: np.ndarray, t: np.ndarray, method: str):
+    """One row of scores per query."""
+    if method == "cos":
+        yield from q @ t.T
+    else:
+        for x in q:
+            gap = t - x
+            yield (gap * gap).sum(axis=1) if method == "euclid" else np.abs(gap).sum(axis=1)
 
 
 def nearest(queries: DataFrame, table: DataFrame, k: int = 10, method: str = "cos",
-            query_key: str = "qid", table_key: str = "word", max_queries: int = MAX_BROADCAST_QUERIES,
-            tie_digits: int = 9) -> DataFrame:
+            query_key: str = "qid", table_key: str = "word", tie_digits: int = 9) -> DataFrame:
     """Top-k rows of ``table`` for each query vector.
 
     ``cos``: dot product (vectors assumed normalized), descending;
     ``euclid``: squared distance ascending; ``l1``: L1 distance ascending.
     Scores are ranked after rounding to ``tie_digits`` so that equal vectors
     (duplicate texts) tie exactly whatever the summation order; ties are
-    broken by the table key. The query itself is not excluded.
+    broken by the table key. The query itself is not excluded. Any number of
+    queries: blocks of queries meet blocks of the table, and only the k best
+    rows of a query leave a pair of blocks. Null vectors take no part.
     """
-    q = _checked_queries(queries.select(F.col(query_key).alias("qid"), F.col("vec").alias("__q")), max_queries)
-    t = table.select(F.col(table_key).alias("key"), F.col("vec").alias("__t"))
-    pairs = t.crossJoin(q)
-    if method == "cos":
-        score = ar.dot("__q", "__t")
-        order = [F.desc("__r"), F.asc("key")]
-    elif method == "euclid":
-        score = ar.sq_dist("__q", "__t")
-        order = [F.asc("__r"), F.asc("key")]
-    elif method == "l1":
-        score = ar.l1_dist("__q", "__t")
-        order = [F.asc("__r"), F.asc("key")]
-    else:
+    if method not in ("cos", "euclid", "l1"):
         raise ValueError(method)
-    scored = pairs.select("qid", "key", score.alias("score")).withColumn("__r", F.round("score", tie_digits))
-    return top_n_per_group(scored, ["qid"], order, k).drop("__r")
+    kind = {"q": queries.schema[query_key].dataType.simpleString(), "t": table.schema[table_key].dataType.simpleString()}
+    sign = -1.0 if method == "cos" else 1.0
+
+    def best(frames):
+        for frame in frames:
+            for q_keys, q_vecs, t_keys, t_vecs in zip(frame["q_keys"], frame["q_vecs"], frame["t_keys"], frame["t_vecs"]):
+                q, t = np.reshape(q_vecs, (len(q_keys), -1)), np.reshape(t_vecs, (len(t_keys), -1))
+                t_keys = np.asarray(t_keys)
+                by_key = np.argsort(t_keys, kind="stable")
+                t, t_keys = t[by_key], t_keys[by_key]
+                found = []
+                for key, score in zip(q_keys, _scores(q, t, method)):
+                    rank = sign * np.round(score, tie_digits)
+                    near = np.arange(len(rank))
+                    if len(rank) > k:
+                        near = np.flatnonzero(rank <= np.partition(rank, k - 1)[k - 1])
+                    near = near[np.argsort(rank[near], kind="stable")][:k]
+                    found.append(pd.DataFrame({"qid": [key] * len(near), "key": t_keys[near], "score": score[near],
+                                               "__r": rank[near]}))
+                yield pd.concat(found)
+    blocks = _packed(table, table_key, "t").crossJoin(_packed(queries, query_key, "q"))
+    scored = blocks.mapInPandas(best, f"qid {kind['q']}, key {kind['t']}, score double, __r double")
+    return top_n_per_group(scored, ["qid"], [F.asc("__r"), F.asc("key")], k).drop("__r")
 
 
 def similarity(vectors: DataFrame, a: str, b: str) -> DataFrame:
@@ -146,14 +178,12 @@ def svd(rows: DataFrame, vec_col: str, k: int, compute_u: bool = False, key: str
     """Truncated SVD with mllib's distributed RowMatrix (Gramian or
     ARPACK, mat-vec products distributed). Returns (s list, V numpy, U
     DataFrame or None); U rows keep their key when ``key`` is given."""
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+    from pyspark.mllib.util import MLUtils
 
-    if key is None:
-        rdd = rows.select(vec_col).rdd.map(lambda r: IndexedRow(0, MV.dense(r[0])))
-    else:
-        rdd = rows.select(key, vec_col).rdd.map(lambda r: IndexedRow(int(r[0]), MV.dense(r[1])))
-    mat = IndexedRowMatrix(rdd)
+    index = F.lit(0) if key is None else F.col(key)
+    dense = rows.select(index.cast("long").alias("index"), array_to_vector(vec_col).alias("vector"))
+    mat = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(dense, "vector"))
     res = mat.computeSVD(k, computeU=compute_u)
     s = res.s.toArray().tolist()
     v = res.V.toArray()
@@ -175,17 +205,15 @@ def project(rows: DataFrame, vec_col: str, basis, out: str = "coords") -> DataFr
 def sparse_svd(triples: DataFrame, row_idx: str, col_idx: str, value: str, n_cols: int, k: int):
     """E11 on a sparse (row, col, value) matrix: rows assembled as sparse
     vectors, then the distributed SVD. Returns (s, V, U rows)."""
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    grouped = triples.groupBy(row_idx).agg(F.sort_array(F.collect_list(F.struct(col_idx, value))).alias("e"))
-
-    def to_row(r):
-        idx = [int(e[0]) for e in r[1]]
-        val = [float(e[1]) for e in r[1]]
-        return IndexedRow(int(r[0]), MV.sparse(n_cols, idx, val))
-
-    mat = IndexedRowMatrix(grouped.rdd.map(to_row))
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+    from pyspark.mllib.util import MLUtils
+
+    sparse = F.udf(lambda cells: Vectors.sparse(n_cols, [int(c[0]) for c in cells], [float(c[1]) for c in cells]), VectorUDT())
+    grouped = triples.groupBy(F.col(row_idx).cast("long").alias("index")).agg(
+        F.sort_array(F.collect_list(F.struct(col_idx, value))).alias("cells"))
+    rows = cut_lineage(grouped.select("index", sparse("cells").alias("vector")))  # read in every product
+    mat = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(rows, "vector"))
     res = mat.computeSVD(k, computeU=True)
     u = res.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()])).toDF(["row", "u"])
     return res.s.toArray().tolist(), res.V.toArray(), u

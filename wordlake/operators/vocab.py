@@ -146,9 +146,9 @@ def encode_arrays(df: DataFrame, arr_col: str, vocab: DataFrame, out: str = "ids
 
 def decode_arrays(df: DataFrame, ids_col: str, vocab: DataFrame, unk: str = "<UNK>", out: str = "symbols",
                   keys=None) -> DataFrame:
-    """V6 over whole sequences: array<long> -> array<string> (misses -> unk)."""
+    """V6 over whole sequences: array<long> -> array<string> (misses -> unk, an empty row stays an empty array)."""
     keys = [keys] if isinstance(keys, str) else list(keys or [])
     rows = df.select(*keys, F.posexplode(ids_col).alias("pos", "__i"))
     dec = decode(rows, vocab, "__i", unk, "__sym")
     seq = collect_sequence(dec, keys, "pos", "__sym", out)
-    return df.join(seq, keys, "left")
+    return df.join(seq, keys, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))

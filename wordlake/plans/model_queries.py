@@ -23,6 +23,7 @@ from wordlake.plans.registry import Tables, query
 
 K_TOPICS = 20
 ITERATIONS = 20
+SVD_WORDS = 5000  # the vocabulary of E11, a parameter of the operator
 
 
 def _bow_min_df(t):
@@ -31,8 +32,9 @@ def _bow_min_df(t):
 
 
 def _nmf(spark, d, iterations=ITERATIONS):
-    bow = _bow_min_df(Tables(spark, d))
-    return tp.nmf(bow, "doc_id", "term", "tf", K_TOPICS, iterations, seed=0)
+    t = Tables(spark, d)
+    W, H = tp.nmf(_bow_min_df(t), "doc_id", "term", "tf", K_TOPICS, iterations, seed=0)
+    return tp.with_all_docs(W, t.documents.select(F.col("doc_id").alias("doc")), K_TOPICS), H
 
 
 @query("g01_topics")
@@ -72,19 +74,19 @@ def g05_closest_pages(spark, d):
 @query("e11_svd_cooccurrence")
 def e11_svd_cooccurrence(spark, d):
     """Truncated SVD (k = 10) of the two-sided co-occurrence matrix of the
-    500 most frequent document words; singular values and the word vectors
-    u * s of the 10 most frequent words."""
+    SVD_WORDS most frequent document words; singular values and the length of
+    every word's vector u * s."""
     t = Tables(spark, d)
     words = t.documents.select("doc_id", tx.letters_only_words("text").alias("w"))
-    vocab = vb.capped_vocabulary(vb.token_table(words, "w", "doc_id"), 501).where(F.col("idx") > 0)
+    vocab = vb.capped_vocabulary(vb.token_table(words, "w", "doc_id"), SVD_WORDS + 1).where(F.col("idx") > 0)
     enc = vocab.select(F.col("symbol").alias("row_word"), (F.col("idx") - 1).alias("r"))
     m = co.two_sided(words, "w", 5).join(enc, "row_word") \
         .join(enc.select(F.col("row_word").alias("col_word"), F.col("r").alias("c")), "col_word")
-    s, _, u = ve.sparse_svd(m, "r", "c", "weight", 500, 10)
+    s, _, u = ve.sparse_svd(m, "r", "c", "weight", SVD_WORDS, 10)
     sv = spark.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "component int, singular_value double")
     scaled = u.select("row", F.transform("u", lambda x, i: x * F.element_at(F.array(*[F.lit(float(v)) for v in s]),
                                                                              i + 1)).alias("vec"))
-    top = scaled.join(enc.withColumnRenamed("r", "row"), "row").where(F.col("row") < 10)
+    top = scaled.join(enc.withColumnRenamed("r", "row"), "row")
     spectrum = sv.agg(F.sort_array(F.collect_list(F.struct("component", "singular_value"))).alias("spectrum"))
     return top.select("row_word", F.size("vec").alias("k"), ar.l2_norm("vec").alias("norm")).crossJoin(spectrum)
 

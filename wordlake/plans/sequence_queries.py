@@ -149,9 +149,10 @@ def _vocab_docs(t):
 
 _VOCAB_SQL = f"""(SELECT token AS symbol, row_number() OVER (ORDER BY count(*) DESC, token DESC) - 1 AS idx
   FROM (SELECT unnest(w) AS token FROM {_DOC_W}) GROUP BY token)"""
-_IDS_SQL = f"""(WITH t AS (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS token FROM {_DOC_W})
-  SELECT t.doc_id, list(v.idx ORDER BY t.pos) AS ids FROM t JOIN {_VOCAB_SQL} v ON t.token = v.symbol
-  GROUP BY t.doc_id)"""
+_IDS_SQL = f"""(WITH t AS (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS token FROM {_DOC_W}),
+  k AS (SELECT t.doc_id, list(v.idx ORDER BY t.pos) AS ids FROM t JOIN {_VOCAB_SQL} v ON t.token = v.symbol
+  GROUP BY t.doc_id)
+  SELECT doc_id, coalesce(ids, CAST([] AS BIGINT[])) AS ids FROM documents LEFT JOIN k USING (doc_id))"""
 
 
 @query("v08_batch_pad", f"""WITH v AS {_VOCAB_SQL}, e AS {_IDS_SQL},
@@ -169,7 +170,7 @@ def v08_batch_pad(spark, d):
     words, vocab = _vocab_docs(t)
     vocab = vb.with_specials(vocab)
     pad_idx = vocab.where(F.col("symbol") == "<PAD>").select("idx")
-    enc = vb.encode_arrays(words, "w", vocab, "ids", unk_idx=None, keys="doc_id").where(F.size("ids") > 0)
+    enc = vb.encode_arrays(words, "w", vocab, "ids", unk_idx=None, keys="doc_id")
     b = sq.batches(enc.select("doc_id", "ids"), [F.asc("doc_id")], 32)
     padded = sq.pad_batches(b.crossJoin(pad_idx.withColumnRenamed("idx", "__pad")), "ids", F.col("__pad"))
     return padded.select("doc_id", "batch_id", "length", F.size("padded").alias("padded_len"),
@@ -236,7 +237,7 @@ def v14_encoder_features(spark, d):
     t = Tables(spark, d)
     words, vocab = _vocab_docs(t)
     vocab4 = vocab.withColumn("idx", F.col("idx") + 4)
-    enc = vb.encode_arrays(words, "w", vocab4, "ids", unk_idx=1, keys="doc_id").where(F.size("ids") > 0)
+    enc = vb.encode_arrays(words, "w", vocab4, "ids", unk_idx=1, keys="doc_id")
     f = enc.select("doc_id", sq.encoder_features("ids", 128, 2, 3, 0).alias("f"))
     return f.select("doc_id", F.md5(ar.int_array_string("f.input_ids")).alias("h"),
                     F.aggregate("f.input_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("mask_sum"),
@@ -269,14 +270,14 @@ def v17_word_boundaries(spark, d):
 
 
 @query("v21_shift_right", f"""WITH v AS {_VOCAB_SQL}, e AS {_IDS_SQL}
-SELECT doc_id, md5(array_to_string(list_concat([(SELECT count(*) FROM v) + 2], ids[1:len(ids) - 1]), ',')) AS h FROM e""")
+SELECT doc_id, md5(array_to_string(CASE WHEN len(ids) = 0 THEN ids ELSE list_concat([(SELECT count(*) FROM v) + 2], ids[1:len(ids) - 1]) END, ',')) AS h FROM e""")
 def v21_shift_right(spark, d):
-    """Decoder input = <GO> + all but the last id."""
+    """Decoder input = <GO> + all but the last id (same length; an empty text stays empty)."""
     t = Tables(spark, d)
     words, vocab = _vocab_docs(t)
     vocab = vb.with_specials(vocab)
     go = vocab.where(F.col("symbol") == "<GO>").select(F.col("idx").alias("__go"))
-    enc = vb.encode_arrays(words, "w", vocab, "ids", unk_idx=None, keys="doc_id").where(F.size("ids") > 0)
+    enc = vb.encode_arrays(words, "w", vocab, "ids", unk_idx=None, keys="doc_id")
     s = enc.crossJoin(go).select("doc_id", F.when(F.size("ids") == 0, F.col("ids")).otherwise(F.concat(
         F.array(F.col("__go")), F.slice("ids", 1, F.size("ids") - 1))).alias("dec"))
     return s.select("doc_id", F.md5(ar.int_array_string("dec")).alias("h"))
@@ -351,26 +352,26 @@ _STOPS_SQL = q.STOPS
 m AS (SELECT row_word, col_word, sum(w8) AS weight FROM
   (SELECT row_word, col_word, w8 FROM p UNION ALL SELECT col_word, row_word, w8 FROM p) GROUP BY 1, 2),
 n AS (SELECT row_word, col_word, weight / sum(abs(weight)) OVER (PARTITION BY row_word) AS weight FROM m),
-ph AS (SELECT DISTINCT unnest({q.letters_only_words('text')}) AS word FROM benchmark
-       WHERE item_id = (SELECT min(item_id) FROM benchmark))
-SELECT col_word, round(sum(weight), 6) AS score FROM n JOIN ph ON n.row_word = ph.word
-WHERE NOT list_contains({_STOPS_SQL}, col_word) GROUP BY col_word ORDER BY sum(weight) DESC, col_word LIMIT 10""")
+ph AS (SELECT DISTINCT item_id, unnest({q.letters_only_words('text')}) AS word FROM benchmark),
+sc AS (SELECT item_id, col_word, round(sum(weight), 6) AS score FROM n JOIN ph ON n.row_word = ph.word
+WHERE NOT list_contains({_STOPS_SQL}, col_word) GROUP BY item_id, col_word)
+SELECT * FROM (SELECT item_id, col_word, score,
+  row_number() OVER (PARTITION BY item_id ORDER BY score DESC, col_word) AS rank FROM sc) WHERE rank <= 10""")
 def c07_context_cloud(spark, d):
-    """Context cloud of a phrase (the first benchmark passage): summed
-    l1-normalized rows of its words, stop words removed, top 10."""
+    """Context cloud of every benchmark passage: summed l1-normalized
+    rows of its words, stop words removed, top 10."""
     t = Tables(spark, d)
     m = co.two_sided(_doc_words(t), "w", 5)
-    first = t.benchmark.agg(F.min("item_id").alias("item_id"))
-    phrase = t.benchmark.join(first, "item_id").select(F.explode(tx.letters_only_words("text")).alias("word"))
-    c = co.context_cloud(m, phrase, ENGLISH_STOP_WORDS, 10)
-    return c.select("col_word", F.round("score", R6).alias("score"))
+    phrases = t.benchmark.select("item_id", F.explode(tx.letters_only_words("text")).alias("word"))
+    return co.context_clouds(m, phrases, "item_id", ENGLISH_STOP_WORDS, 10, R6)
 
 
 _CONV_VOCAB_SQL = f"""(SELECT token AS symbol, row_number() OVER (ORDER BY count(*) DESC, token DESC) - 1 AS idx
   FROM (SELECT unnest(w) AS token FROM {_CONV_W}) GROUP BY token)"""
-_CONV_IDS_SQL = f"""(WITH t AS (SELECT conv_id, turn, generate_subscripts(w, 1) AS pos, unnest(w) AS token FROM {_CONV_W})
-  SELECT t.conv_id, t.turn, list(v.idx ORDER BY t.pos) AS ids FROM t JOIN {_CONV_VOCAB_SQL} v ON t.token = v.symbol
-  GROUP BY t.conv_id, t.turn)"""
+_CONV_IDS_SQL = f"""(WITH t AS (SELECT conv_id, turn, generate_subscripts(w, 1) AS pos, unnest(w) AS token FROM {_CONV_W}),
+  k AS (SELECT t.conv_id, t.turn, list(v.idx ORDER BY t.pos) AS ids FROM t JOIN {_CONV_VOCAB_SQL} v ON t.token = v.symbol
+  GROUP BY t.conv_id, t.turn)
+  SELECT conv_id, turn, coalesce(ids, CAST([] AS BIGINT[])) AS ids FROM conversations LEFT JOIN k USING (conv_id, turn))"""
 
 
 @query("v19_pair_dataset", f"""WITH e AS {_CONV_IDS_SQL}, r AS (SELECT conv_id, turn, role FROM conversations)
@@ -384,7 +385,7 @@ def v19_pair_dataset(spark, d):
     t = Tables(spark, d)
     c = t.conversations.select("conv_id", "turn", "role", tx.letters_only_words("text").alias("w"))
     vocab = vb.frequency_vocabulary(vb.token_table(c, "w", ["conv_id", "turn"]))
-    enc = vb.encode_arrays(c, "w", vocab, "ids", unk_idx=None, keys=["conv_id", "turn"]).where(F.size("ids") > 0)
+    enc = vb.encode_arrays(c, "w", vocab, "ids", unk_idx=None, keys=["conv_id", "turn"])
     a = enc.select("conv_id", "turn", F.col("role").alias("ra"), F.col("ids").alias("ia"))
     b = enc.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("rb"), F.col("ids").alias("ib"))
     p = a.join(b, ["conv_id", "turn"])

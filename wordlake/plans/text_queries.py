@@ -234,28 +234,30 @@ def _encoded_docs(t):
 
 
 _ENC_SQL = f"""(WITH v AS {_CAPPED_SQL},
-t AS {_DOC_TOKENS_SQL}
-SELECT t.doc_id, list(coalesce(v.idx, 0) ORDER BY t.pos) AS ids
-FROM t LEFT JOIN v ON t.token = v.symbol GROUP BY t.doc_id)"""
+t AS {_DOC_TOKENS_SQL},
+k AS (SELECT t.doc_id, list(coalesce(v.idx, 0) ORDER BY t.pos) AS ids
+FROM t LEFT JOIN v ON t.token = v.symbol GROUP BY t.doc_id)
+SELECT doc_id, coalesce(ids, CAST([] AS BIGINT[])) AS ids FROM documents LEFT JOIN k USING (doc_id))"""
 
 
 @query("v05_encode", f"""SELECT doc_id, CAST(len(ids) AS INTEGER) AS n, md5(array_to_string(ids, ',')) AS h FROM {_ENC_SQL}""")
 def v05_encode(spark, d):
     """Encode token sequences with a capped vocabulary (UNK = 0)."""
-    e = _encoded_docs(Tables(spark, d)).where(F.size("ids") > 0)
+    e = _encoded_docs(Tables(spark, d))
     return e.select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join("ids", ",")).alias("h"))
 
 
 @query("v06_decode", f"""WITH v AS {_CAPPED_SQL}, e AS {_ENC_SQL},
-x AS (SELECT doc_id, generate_subscripts(ids, 1) AS pos, unnest(ids) AS id FROM e)
-SELECT doc_id, md5(string_agg(CASE WHEN id = 0 THEN '<UNK>' ELSE v.symbol END, ' ' ORDER BY pos)) AS h
-FROM x LEFT JOIN v ON x.id = v.idx GROUP BY doc_id""")
+x AS (SELECT doc_id, generate_subscripts(ids, 1) AS pos, unnest(ids) AS id FROM e),
+y AS (SELECT doc_id, string_agg(CASE WHEN id = 0 THEN '<UNK>' ELSE v.symbol END, ' ' ORDER BY pos) AS s
+FROM x LEFT JOIN v ON x.id = v.idx GROUP BY doc_id)
+SELECT doc_id, md5(coalesce(s, '')) AS h FROM e LEFT JOIN y USING (doc_id)""")
 def v06_decode(spark, d):
     """V6: decode indices back to symbols (0 -> <UNK>)."""
     t = Tables(spark, d)
     words = _doc_words(t)
     vocab = vb.capped_vocabulary(vb.token_table(words, "w", "doc_id"), _CAP)
-    enc = vb.encode_arrays(words, "w", vocab, "ids", unk_idx=0, keys="doc_id").where(F.size("ids") > 0)
+    enc = vb.encode_arrays(words, "w", vocab, "ids", unk_idx=0, keys="doc_id")
     dec = vb.decode_arrays(enc, "ids", vocab.where(F.col("idx") > 0), "<UNK>", "sym", keys="doc_id")
     return dec.select("doc_id", F.md5(F.array_join("sym", " ")).alias("h"))
 
@@ -265,5 +267,5 @@ def v06_decode(spark, d):
 FROM {_ENC_SQL}""")
 def v07_pad(spark, d):
     """V7: pad left / truncate left to 25 ids."""
-    e = _encoded_docs(Tables(spark, d)).where(F.size("ids") > 0)
+    e = _encoded_docs(Tables(spark, d))
     return e.select("doc_id", ar.int_array_string(ar.pad_left("ids", 25)).alias("ids"))
