@@ -21,6 +21,8 @@ from wordlake.llm import textblocks as tb
 from wordlake.llm.lattice import _Table
 
 BLOCK_BYTES = 16 << 20
+#: Of these, so much is split and hashed at once.
+PART_BYTES = 1 << 20
 
 
 def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -263,7 +265,7 @@ def bpe_encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col
                     known = _Dictionary()
                 held, row = [], 0
                 while row < hi - lo:  # parts of a block, so that hashes need little memory
-                    stop = min(hi - lo, max(row + 1, int(np.searchsorted(offsets, offsets[row] + tb.BLOCK_BYTES, "right")) - 1))
+                    stop = min(hi - lo, max(row + 1, int(np.searchsorted(offsets, offsets[row] + PART_BYTES, "right")) - 1))
                     part, cuts = data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
                     start = pre_tokens(part, cuts)
                     held.append((row, stop, known.entries(part, start, np.append(start[1:], len(part))), np.searchsorted(start, cuts)))

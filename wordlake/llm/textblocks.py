@@ -36,12 +36,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(256, dtype=U64) * U64(0xD1342543DE82EF95) + U64(77))
 #: Odd multipliers of the words of an n-gram, by position.
 PLACES = mix(np.arange(64, dtype=U64) + U64(1_000_003)) | U64(1)
+_STEP = 1 << 18
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
+        size = -(-n // _STEP) * _STEP  # a worker keeps these tables, so they grow no further than its longest block
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base & _MASK, U64)
             steps[0] = 1
