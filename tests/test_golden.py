@@ -8,6 +8,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from wordlake.operators import dataset as ds
 from wordlake.operators import evaluate as ev
 from wordlake.operators import sequences as sq
 from wordlake.operators import stats as st
+from wordlake.operators import topics as tp
 from wordlake.operators import vectors as ve
 from wordlake.operators import vocab as vb
 
@@ -252,3 +254,32 @@ def test_nmf_error_decreases(spark):
     assert errs[1] <= errs[0] + 1e-9
     shares = tp.doc_topic_shares(W).select(F.aggregate("share", F.lit(0.0), lambda a, x: a + x).alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-9 for r in shares)
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """More rows than a block on both sides, ties by key, null vectors left out."""
+    monkeypatch.setattr(ve, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(3)
+    t, q = rng.integers(-3, 4, (60, 3)).astype(float), rng.integers(-3, 4, (20, 3)).astype(float)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(t)] + [(99, None)], "word long, vec array<double>")
+    queries = spark.createDataFrame([(f"q{i}", x.tolist()) for i, x in enumerate(q)], "qid string, vec array<double>")
+    for method, score in (("cos", lambda a, b: -a @ b), ("euclid", lambda a, b: ((a - b) ** 2).sum()), ("l1", lambda a, b: abs(a - b).sum())):
+        want = {(f"q{i}", j, k + 1) for i, x in enumerate(q)
+                for k, j in enumerate(sorted(range(len(t)), key=lambda j: (score(x, t[j]), j))[:4])}
+        got = {(r.qid, r.key, r["rank"]) for r in ve.nearest(queries, table, 4, method).collect()}
+        assert got == want
+
+
+def test_empty_texts_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "k long, w array<string>")
+    vocab = spark.createDataFrame([("a", 1), ("b", 2)], "symbol string, idx long")
+    enc = vb.encode_arrays(df, "w", vocab, "ids", unk_idx=0, keys="k")
+    assert {r.k: r.ids for r in enc.collect()} == {1: [1, 2], 2: [], 3: []}
+    dec = vb.decode_arrays(enc.select("k", "ids"), "ids", vocab, "?", "sym", keys="k")
+    assert {r.k: r.sym for r in dec.collect()} == {1: ["a", "b"], 2: [], 3: []}
+
+
+def test_shares_of_documents_without_terms(spark):
+    W = spark.createDataFrame([(1, [1.0, 3.0])], "doc long, w array<double>")
+    docs = spark.createDataFrame([(1,), (2,)], "doc long")
+    assert {r.doc: r.share for r in tp.doc_topic_shares(tp.with_all_docs(W, docs, 2)).collect()} == {1: [0.25, 0.75], 2: [0.0, 0.0]}
