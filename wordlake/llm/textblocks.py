@@ -56,7 +56,10 @@ class SpanHash:
     def __init__(self, data: np.ndarray):
         up, self._down = _power_tables(len(data) + 1)
         self._sum = np.zeros(len(data) + 1, U64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=self._sum[1:])
+        for lo in range(0, len(data), _STEP):  # in steps: no further arrays as long as the block
+            part = self._sum[lo + 1 : lo + _STEP + 1]
+            np.cumsum(_BYTE[data[lo : lo + _STEP]] * up[lo : lo + len(part)], out=part)
+            part += self._sum[lo]
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self._sum[end] - self._sum[start]) * self._down[start] + (end - start).astype(U64))
