@@ -9,6 +9,7 @@ substituted bytes with a final mix that takes in the length. A null text counts
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,11 +70,13 @@ def blocks(column, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.
     """(first row, row after the last, bytes, offsets of the rows in them), block by block."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if large else pa.binary())  # the same bytes, not a copy
+    column = pc.fill_null(column, b"") if column.null_count else column
     if not len(column):
         return
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    offsets = np.frombuffer(offsets, np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data or b"", np.uint8)
     lo = 0
     while lo < len(column):
@@ -83,6 +86,18 @@ def blocks(column, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
+@contextmanager
+def small_batches(spark, rows: int = 2000):
+    """Arrow batches of at most ``rows`` rows for jobs that run inside, as rows that hold whole sets are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @dataclass
 class Words:
     """The words of a block, in order: their row in the block, byte span and hash."""
