@@ -65,6 +65,16 @@ def word_end_labels(words) -> Column:
         F.sequence(F.lit(1), F.length(w)), lambda i: (i == F.length(w)).cast("int"))))
 
 
+def piece_labels(pieces, marks) -> Column:
+    """Each piece's label is the mark of its last character; pieces cover the characters of ``marks`` in order.
+
+    The end offsets are one running sum that is carried along, not a sum per piece."""
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("labels"))
+    return F.aggregate(_c(pieces), start, lambda a, p: F.struct(
+        (a["end"] + F.length(p)).alias("end"), F.array_append(a["labels"], F.get(_c(marks), a["end"] + F.length(p) - 1)).alias("labels")),
+        lambda a: a["labels"])
+
+
 def shift_right(arr, go) -> Column:
     """Decoder input = GO + all but the last element (empty stays empty)."""
     a = _c(arr)

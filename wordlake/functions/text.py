@@ -21,12 +21,19 @@ SCRIPT_STYLE = r"(?is)<(script|style)[^>]*>.*?</(script|style)>"
 TAG = r"<[^>]*>"
 NOT_PRINTABLE = r"[^\x09-\x0d\x20-\x7e]"
 BOW_TOKEN = r"(?U)\b\w\w+\b"
+# fixed values: named HTML entities and their characters (&amp; is decoded last)
+NAMED_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "nbsp": "\u00a0", "copy": "\u00a9", "reg": "\u00ae",
+                  "trade": "\u2122", "hellip": "\u2026", "ndash": "\u2013", "mdash": "\u2014", "lsquo": "\u2018",
+                  "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "laquo": "\u00ab", "raquo": "\u00bb",
+                  "bull": "\u2022", "middot": "\u00b7", "deg": "\u00b0", "sect": "\u00a7", "times": "\u00d7",
+                  "cent": "\u00a2", "pound": "\u00a3", "euro": "\u20ac"}
 KERAS_FILTERS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n"
 # Treebank-like word tokenizer (re-aimed from external tokenizers): a word
 # that ends in n't splits before it, clitics 's 'm 'd 'll 're 've split off,
 # numbers keep inner . and , and every other non-space symbol stands alone.
-PENN_PATTERN = (r"(?iU)\w+(?=n't\b)|n't\b|'(?:s|m|d|ll|re|ve)\b"
-                r"|\d+(?:[.,]\d+)+|\w+|[^\w\s]")
+# Inner hyphens, abbreviations of single letters, dashes and dots in a row stay whole.
+PENN_PATTERN = (r"(?iU)\w+(?:-\w+)*?(?=n't\b)|n't\b|'(?:s|m|d|ll|re|ve)\b|(?:\b\p{L}\.){2,}"
+                r"|\d+(?:[.,]\d+)+|\w+(?:-\w+)*|\.{3}|--|[^\w\s]")
 
 
 def _c(col) -> Column:
@@ -94,11 +101,20 @@ def sentences(col) -> Column:
 
 def unescape_entities(col) -> Column:
     c = _c(col)
-    # fixed values: the five XML entities plus the non-breaking space
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                    ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    for name, ch in NAMED_ENTITIES.items():
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(ch))
+    # numbered entities: cut the text before each, decode the number that a piece begins with
+    pieces = F.split(c, r"(?=&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)")
+    decoded = F.array_join(F.transform(pieces, _decode_head), "")
+    return F.replace(F.when(F.instr(c, "&#") > 0, decoded).otherwise(c), F.lit("&amp;"), F.lit("&"))
+
+
+def _decode_head(piece) -> Column:
+    number = F.regexp_extract(piece, r"^&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+    code = F.when(F.lower(number).startswith("x"), F.conv(F.substring(number, 2, 7), 16, 10)).otherwise(number).try_cast("int")
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    ch = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    return F.when(number == "", piece).otherwise(F.concat(ch, F.regexp_replace(piece, r"^&#[0-9a-fA-FxX]+;", "")))
 
 
 def html_to_text(col) -> Column:

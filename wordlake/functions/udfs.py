@@ -53,6 +53,14 @@ def vectorized(fn: Callable, return_type=T.StringType()) -> Callable[[Column], C
     return _udf
 
 
+def row_function(fn: Callable[[pd.DataFrame], pd.Series], return_type) -> Callable[[Column], Column]:
+    """Wrap a function of several columns (a struct) as an Arrow-batched pandas UDF."""
+    @F.pandas_udf(return_type)
+    def _udf(rows: pd.DataFrame) -> pd.Series:
+        return fn(rows)
+    return _udf
+
+
 html_text_udf = vectorized(html_text_exact)
 
 

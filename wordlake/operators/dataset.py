@@ -38,7 +38,7 @@ def class_rank(df: DataFrame, label_col: str, order_cols, out: str = "class_rank
     """0-based rank of each row inside its class along ``order_cols``."""
     idx = global_index(df, [F.asc(label_col), *order_cols], "__g")
     start = idx.groupBy(label_col).agg(F.min("__g").alias("__s"))
-    return idx.join(F.broadcast(start), label_col).withColumn(out, F.col("__g") - F.col("__s")).drop("__g", "__s")
+    return idx.join(start, label_col).withColumn(out, F.col("__g") - F.col("__s")).drop("__g", "__s")
 
 
 def undersample(df: DataFrame, label_col: str, key: str, seed: int | None = None) -> DataFrame:
@@ -71,7 +71,7 @@ def balanced_weights(df: DataFrame, label_col: str, out: str = "weight") -> Data
     c = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("__c"))
     tot = c.agg(F.sum("__c").alias("__n"), F.count(F.lit(1)).alias("__k"))
     w = c.crossJoin(tot).select(label_col, (F.col("__n") / (F.col("__k") * F.col("__c"))).alias(out))
-    return df.join(F.broadcast(w), label_col)
+    return df.join(w, label_col)
 
 
 def random_window(arr, size: int, key, seed: int):

@@ -7,6 +7,8 @@ out-of-fold base predictions (the reference used in-sample ones).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -114,10 +116,12 @@ def out_of_fold(df: DataFrame, fold_col: str, k: int, make_estimator, feature_co
 
 def stack(df: DataFrame, fold_col: str, k: int, base: dict, feature_cols, key: str, label: str) -> DataFrame:
     """Out-of-fold base probabilities joined side by side on the
-    row key, then a logistic-regression meta model."""
+    row key, then a logistic-regression meta model that scores each fold
+    from a fit on the others."""
     meta = df.select(key, label, fold_col)
     for name, make in base.items():
         meta = meta.join(out_of_fold(df, fold_col, k, make, feature_cols, key, name), key)
     names = list(base)
-    _, pred = fit_predict(meta, meta, classifier("lr", label), names, keep=[key, label, *names])
-    return pred
+    parts = [fit_predict(meta.where(F.col(fold_col) != f), meta.where(F.col(fold_col) == f), classifier("lr", label), names,
+                         keep=[key, label, *names])[1] for f in range(k)]
+    return reduce(DataFrame.unionByName, parts)

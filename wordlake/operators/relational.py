@@ -22,10 +22,15 @@ def scale_by_max(df: DataFrame, col: str, out: str | None = None, by=None) -> Da
     (broadcast of one row), not an unpartitioned window."""
     out = out or f"{col}_scaled"
     mx = df.agg(F.max(col).alias("__mx")) if by is None else df.groupBy(*by).agg(F.max(col).alias("__mx"))
-    j = df.crossJoin(F.broadcast(mx)) if by is None else df.join(F.broadcast(mx), by)
+    j = df.crossJoin(F.broadcast(mx)) if by is None else df.join(mx, by)
     return j.withColumn(out, F.try_divide(F.col(col), F.col("__mx"))).drop("__mx")
 
 
+def select_keys(df: DataFrame, col: str, keys) -> DataFrame:
+    """The rows whose ``col`` is one of a few given keys."""
+    return df.where(F.col(col).isin(list(keys)))
+
+
 def threshold_label(col, threshold, op: str = ">=") -> Column:
     """1 when col (op) threshold else 0."""
     c = F.col(col) if isinstance(col, str) else col

@@ -229,3 +229,10 @@ def train_word2vec(sentences: DataFrame, col: str, dim: int = 30, min_count: int
     model = w2v.fit(sentences.select(col))
     vecs = model.getVectors().select("word", vector_to_array("vector").alias("vec"))
     return model, vecs
+
+
+def lookup(df: DataFrame, index_col: str, table: DataFrame, key: str, vec: str) -> DataFrame:
+    """``df`` with the vector (as doubles) of the index in each row; an empty vector when the table lacks it."""
+    v = table.select(F.col(key).alias("__k"), F.col(vec).cast("array<double>").alias(vec))
+    j = df.join(v, F.col(index_col) == F.col("__k"), "left").drop("__k")
+    return j.withColumn(vec, F.coalesce(vec, F.array().cast("array<double>")))

@@ -5,6 +5,7 @@ are spelled ``[\\p{L}\\p{Nd}_]``. Lambdas use the ``lambda x: ...`` form.
 """
 
 from wordlake.functions.stopwords import sql_list
+from wordlake.functions.text import NAMED_ENTITIES
 
 W = r"[\p{L}\p{Nd}_]"
 # fixed values: DuckDB spellings of the text patterns in functions/text.py
@@ -38,9 +39,8 @@ def regexp_tokens(x: str, pattern: str = TOKEN_SQL) -> str:
 def html_to_text(x: str) -> str:
     s = f"regexp_replace({x}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
     s = f"regexp_replace({s}, '<[^>]*>', '', 'g')"
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
-                    ("&nbsp;", " "), ("&amp;", "&")):
-        s = f"replace({s}, '{ent}', '{ch}')"
+    for name, ch in {**NAMED_ENTITIES, "amp": "&"}.items():
+        s = f"replace({s}, '&{name};', '{2 * ch if ch == chr(39) else ch}')"
     return s
 
 
