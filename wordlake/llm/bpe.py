@@ -280,7 +280,7 @@ def bpe_encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col
                         [batch.column(0).slice(lo + row, stop - row).cast(pa.int64()), pa.array(np.diff(offsets[row : stop + 1])), out.cast(pa.binary())],
                         names=["doc_id", "n_bytes", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(encode, "doc_id long, n_bytes long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(tb.trimmed(encode), "doc_id long, n_bytes long, ids binary")
 
 
 def bpe_decode(tokens: DataFrame, rank_path: str) -> DataFrame:
@@ -295,4 +295,4 @@ def bpe_decode(tokens: DataFrame, rank_path: str) -> DataFrame:
                 out.append(table.bytes[gather(table.begin[ids], table.begin[ids + 1] - table.begin[ids])].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "n_bytes", "ids", "decoded"])
 
-    return tokens.select("doc_id", "n_bytes", "ids").mapInArrow(decode, "doc_id long, n_bytes long, ids binary, decoded binary")
+    return tokens.select("doc_id", "n_bytes", "ids").mapInArrow(tb.trimmed(decode), "doc_id long, n_bytes long, ids binary, decoded binary")

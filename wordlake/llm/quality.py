@@ -94,7 +94,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def judge(batches):
         squeeze = zstandard.ZstdCompressor(level=bands.level).compress
         for batch in batches:
-            for lo, hi, data, offsets in tb.blocks(batch.column(1)):
+            for lo, hi, data, offsets in tb.blocks(batch.column(1), 1 << 20):
                 base = _base(data, offsets)
                 whole = memoryview(data)
                 z = [_compression(bytes(whole[offsets[i] : offsets[i + 1]]), bands, squeeze) for i in range(hi - lo)]
@@ -116,4 +116,4 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         *(c.slice(lo, hi - lo) for c in batch.columns[2:])]
                 yield pa.RecordBatch.from_arrays(cols, names=fields.names)
 
-    return picked.mapInArrow(judge, fields)
+    return picked.mapInArrow(tb.trimmed(judge), fields)

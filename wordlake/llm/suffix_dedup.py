@@ -131,8 +131,8 @@ def repeated_grams(docs: DataFrame, blocks: int) -> DataFrame:
         parts.append(pa.Table.from_arrays([pa.array(keys[rows]), _binary(value.astype("<u4").view(np.uint8), size * 4), pa.nulls(len(rows), pa.int64())], names=["k", "grams", "prefix"]))
         return pa.concat_tables(parts)
 
-    sent = docs.mapInArrow(send, "block int, keys binary, place binary, part binary, own binary, sample binary")
-    return sent.groupBy("block").applyInArrow(find, "k long, grams binary, prefix long")
+    sent = docs.mapInArrow(tb.trimmed(send), "block int, keys binary, place binary, part binary, own binary, sample binary")
+    return sent.groupBy("block").applyInArrow(tb.trimmed_group(find), "k long, grams binary, prefix long")
 
 
 class Suffixes:
@@ -344,7 +344,7 @@ def marked_spans(docs: DataFrame, splitters: np.ndarray) -> DataFrame:
         schema = pa.schema([("k", pa.int64()), ("marks", pa.binary())])
         return pa.concat_tables([x.cast(schema) for x in out]) if out else schema.empty_table()
 
-    return docs.mapInArrow(sort, "range int, run binary, own binary").groupBy("range").applyInArrow(merge, "k long, marks binary")
+    return docs.mapInArrow(tb.trimmed(sort), "range int, run binary, own binary").groupBy("range").applyInArrow(tb.trimmed_group(merge), "k long, marks binary")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), with_text: bool = False) -> DataFrame:
@@ -393,5 +393,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))),
                                                   *(batch.column(c).slice(lo, hi - lo) for c in passed)], names=fields.names)
 
-    found = source.mapInArrow(cut, fields)
+    found = source.mapInArrow(tb.trimmed(cut), fields)
     return found if with_text else found.drop("kept_text")

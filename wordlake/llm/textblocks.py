@@ -8,6 +8,7 @@ substituted bytes with a final mix that takes in the length. A null text counts
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -86,6 +87,41 @@ def blocks(column, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def trimmed(run):
+    """A mapInArrow function whose worker gives freed memory back to the system after each batch and at its end.
+
+    Workers are used again by later stages, which would otherwise start with what the C library kept of the last one."""
+    def wrapped(batches):
+        def one_by_one():
+            for batch in batches:
+                yield batch
+                del batch
+                _give_back()
+
+        yield from run(one_by_one())
+        _give_back()
+
+    return wrapped
+
+
+def trimmed_group(run):
+    """The same for an applyInArrow function of one table."""
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        del table
+        _give_back()
+        return out
+
+    return wrapped
+
+
 @contextmanager
 def small_batches(spark, rows: int = 2000):
     """Arrow batches of at most ``rows`` rows for jobs that run inside, as rows that hold whole sets are wide."""
