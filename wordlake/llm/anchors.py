@@ -16,7 +16,7 @@ GRAM = 32
 _PLACE = 27  # bits of a position within a block
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, part_bytes: int = 1 << 20):
+def anchors(data: np.ndarray, offsets: np.ndarray, part_bytes: int = 1 << 18):
     """(position, first window, last window, gram hash) of the anchors of a block of texts; windows stay within a text.
 
     Worked out for about ``part_bytes`` at a time.
