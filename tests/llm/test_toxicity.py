@@ -55,3 +55,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
         rows = tx.toxicity(odd_docs, lab, F.lit(True)).collect()
         assert len(rows) == odd_docs.count() and all(0 <= r.score <= 1 for r in rows)
     assert tx.toxicity(no_docs, labels, F.lit(None).cast("boolean")).count() == 0
+
+
+def test_held_out_labels_leave_every_score(spark):
+    rnd = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rnd.choice(words, 12)) + (" foul" * 3 if i % 4 == 0 else "")) for i in range(240)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).cache()
+    held = lambda i: i % 5 == 0
+    train = [(i, int(i % 4 == 0)) for i, _ in docs if not held(i)]
+
+    def scores(labels):
+        return {r.doc_id: r.score for r in tx.toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 5 != 0).collect()}
+
+    want = scores(train)
+    assert len(want) == 240 and len(set(want.values())) > 1
+    for y in (0, 1):  # labels of held-out documents, of ids without a document and of no id
+        assert scores(train + [(i, y) for i, _ in docs if held(i)] + [(1000 + i, y) for i in range(400)] + [(None, y)]) == want
+    one = [(i, 1) for i, y in train if y] + [(i, 0) for i, _ in docs if held(i)]  # no network: the share of training labels
+    assert set(scores(one).values()) == {1.0} and set(scores([(i, 1) for i, _ in docs if held(i)]).values()) == {0.0}
