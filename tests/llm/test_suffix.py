@@ -5,8 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from tests.conftest import SF001
+from wordlake.llm import anchors as an
 from wordlake.llm import suffix_dedup as sd
 from wordlake.llm.queries import LLM_QUERIES
 from wordlake.llm.suffix_dedup import merge_runs, suffix_dedup
@@ -89,3 +91,30 @@ def test_kept_text_and_columns(spark, odd_docs):
     for r in got:
         assert r.in_doc_id == r.doc_id and (r.n_removed or r.kept_text == (r.in_text or ""))
     assert np.sum([r.n_removed for r in got]) > 0
+
+
+def test_texts_longer_than_a_place(spark, monkeypatch):
+    """Positions of 9 bits: texts are worked through in pieces, with the same anchors and the same result."""
+    rnd = random.Random(7)
+    noise = lambda n: "".join(rnd.choice("abcdé \n") for _ in range(n))
+    passages = [noise(n) for n in (100, 180, 700)]
+    texts = ["".join(rnd.choice([noise(90), "xy" * 130, "z" * 500, *passages]) for _ in range(n)) for n in (0, 1, 2, 30, 5, 12)]
+    raws = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
+    whole = an.anchors(data, offsets, 1 << 26)
+    for part in (1 << 18, 300, 511, 100):
+        assert all((a == b).all() for a, b in zip(an.anchors(data, offsets, part), whole, strict=True)), part
+    monkeypatch.setattr(an, "_PLACE", 9)
+    assert all((a == b).all() for a, b in zip(an.anchors(data, offsets), whole, strict=True))
+    rows = list(enumerate(texts)) + [(3, texts[4]), (3, texts[3])]
+    cloudpickle.register_pickle_by_value(an)  # so that workers see 9 bits too
+    try:
+        check(suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+    finally:
+        cloudpickle.unregister_pickle_by_value(an)
+    monkeypatch.setattr(sd.tb, "BLOCK_BYTES", 1000)
+    hashes = sd._text_hashes(data, offsets)
+    for i, r in enumerate(raws):  # of the text alone, however it is placed
+        one = np.frombuffer(r, np.uint8)
+        assert sd._text_hashes(one, np.array([0, len(r)]))[0] == hashes[i]
+    assert len(np.unique(hashes)) == len(texts)

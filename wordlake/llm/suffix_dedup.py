@@ -71,6 +71,19 @@ def _prefix(right: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(right[:, :8]).view(">u8").ravel().astype(tb.U64)
 
 
+def _text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Hashes of the texts of a block; of a text longer than a block's bytes, which is a block of its own, piece by piece."""
+    if len(data) <= tb.BLOCK_BYTES:
+        return tb.SpanHash(data)(offsets[:-1], offsets[1:]).view(np.int64)
+    out = np.zeros(len(offsets) - 1, tb.U64)
+    for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        for begin in range(lo, max(hi, lo + 1), tb.BLOCK_BYTES):
+            part = data[begin : min(hi, begin + tb.BLOCK_BYTES)]
+            piece = tb.SpanHash(part)(np.array([0]), np.array([len(part)]))
+            out[i : i + 1] = piece if hi - lo <= tb.BLOCK_BYTES else tb.mix(out[i : i + 1] ^ piece)
+    return out.view(np.int64)
+
+
 def repeated_grams(docs: DataFrame, blocks: int) -> DataFrame:
     """From (k, text): rows (k, grams) with 32-bit parts of the gram hashes of k that occur twice or more, and rows
     with only ``prefix``, evenly spaced samples of each task's sorted suffixes. A few grams too many do no harm."""
@@ -312,7 +325,7 @@ def marked_spans(docs: DataFrame, splitters: np.ndarray) -> DataFrame:
                 mine = tb.with_row(row, gram >> tb.U64(32))
                 hit = wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
                 at, first, last, row = at[hit], first[hit], last[hit], row[hit]
-                texts = tb.SpanHash(data)(offsets[:-1], offsets[1:]).view(np.int64)
+                texts = _text_hashes(data, offsets)
                 padded = np.concatenate((data, _TAIL))
                 for a in range(0, len(at), RUN):
                     p, f, r = at[a : a + RUN], first[a : a + RUN], row[a : a + RUN]
@@ -354,7 +367,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same start in two of them is neither earlier. Null ids come after all others and are one document. Columns named
     in ``keep`` pass through as ``in_<name>``; others are not read. Spans may cut characters; in ``kept_text`` the
     bytes that are left of such a character are dropped, the digest covers them. Windows are compared by the sorted
-    order of their right part and a 64-bit hash of their left part.
+    order of their right part and a 64-bit hash of their left part. A text may be as long as a Spark string.
     """
     blocks = block_count(docs, text_col, BLOCK_TEXT)
     picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"),
@@ -375,7 +388,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(batches):
         for batch in batches:
             for lo, hi, data, offsets in tb.blocks(batch.column("text")):
-                texts = tb.SpanHash(data)(offsets[:-1], offsets[1:]).view(np.int64)
+                texts = _text_hashes(data, offsets)
                 out: list[list] = [[], [], [], [], []]
                 for i, found in enumerate(batch.column("marks").slice(lo, hi - lo).to_pylist()):
                     raw = data[offsets[i] : offsets[i + 1]]
@@ -385,7 +398,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         spans = spans[spans[:, 0] == texts[i]]
                         np.add.at(gone, spans[:, 1], 1)
                         np.add.at(gone, spans[:, 2], -1)
-                    gone = np.cumsum(gone[:-1]) > 0
+                    gone = np.cumsum(gone[:-1], out=gone[:-1]) > 0
                     left = raw[~gone].tobytes()
                     edges = np.count_nonzero(gone[1:] & ~gone[:-1]) + int(len(gone) > 0 and bool(gone[0]))
                     for o, v in zip(out, (len(raw), int(gone.sum()), edges, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if with_text else None)):
