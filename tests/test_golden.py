@@ -283,3 +283,30 @@ def test_shares_of_documents_without_terms(spark):
     W = spark.createDataFrame([(1, [1.0, 3.0])], "doc long, w array<double>")
     docs = spark.createDataFrame([(1,), (2,)], "doc long")
     assert {r.doc: r.share for r in tp.doc_topic_shares(tp.with_all_docs(W, docs, 2)).collect()} == {1: [0.25, 0.75], 2: [0.0, 0.0]}
+
+
+def test_svd_of_all_words(spark, tmp_path):
+    """More words than the 5000 that once were kept; the spectrum and lengths of numpy's dense SVD."""
+    from wordlake.plans.model_queries import e11_svd_cooccurrence
+
+    rnd = np.random.default_rng(3)
+    name = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(4))
+    docs = [(i, " ".join(name(int(x)) for x in (rnd.pareto(0.6, 30) * 5).astype(int) % 9000)) for i in range(400)] + [(400, "alone")]
+    docs += [(401 + i, f"{name(9000 + 2 * i)} {name(9001 + 2 * i)}") for i in range(2600)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = e11_svd_cooccurrence(spark, str(tmp_path)).collect()
+    split = [t.split() for _, t in docs]
+    words = sorted({w for t in split for w in t})
+    assert len(words) > 5000 and sorted(r.row_word for r in rows) == words and {r.k for r in rows} == {10}
+    cells = co.two_sided(spark.createDataFrame([(t,) for t in split], "w array<string>"), "w", 5).collect()
+    seen = sorted({c.row_word for c in cells})
+    at = {w: i for i, w in enumerate(seen)}
+    dense = np.zeros((len(seen), len(seen)))
+    for c in cells:
+        dense[at[c.row_word], at[c.col_word]] += c.weight
+    value, vec = np.linalg.eigh(dense)
+    top = np.argsort(-np.abs(value))[:10]
+    assert [x.singular_value for x in rows[0].spectrum] == pytest.approx(np.abs(value[top]).tolist(), rel=1e-4)
+    length = np.sqrt(((vec[:, top] * value[top]) ** 2).sum(1))
+    norm = {r.row_word: r.norm for r in rows}
+    assert norm["alone"] == 0 and max(abs(norm[w] - x) for w, x in zip(seen, length)) < 1e-2 * length.max()

@@ -20,10 +20,10 @@ from wordlake.operators import topics as tp
 from wordlake.operators import vectors as ve
 from wordlake.operators import vocab as vb
 from wordlake.plans.registry import Tables, query
+from wordlake.session import cut_lineage
 
 K_TOPICS = 20
 ITERATIONS = 20
-SVD_WORDS = 5000  # the vocabulary of E11, a parameter of the operator
 
 
 def _bow_min_df(t):
@@ -73,22 +73,20 @@ def g05_closest_pages(spark, d):
 
 @query("e11_svd_cooccurrence")
 def e11_svd_cooccurrence(spark, d):
-    """Truncated SVD (k = 10) of the two-sided co-occurrence matrix of the
-    SVD_WORDS most frequent document words; singular values and the length of
-    every word's vector u * s."""
+    """Truncated SVD (k = 10) of the two-sided co-occurrence matrix of all
+    document words; singular values and the length of every word's vector
+    u * s (0 for a word that stands with no other)."""
     t = Tables(spark, d)
     words = t.documents.select("doc_id", tx.letters_only_words("text").alias("w"))
-    vocab = vb.capped_vocabulary(vb.token_table(words, "w", "doc_id"), SVD_WORDS + 1).where(F.col("idx") > 0)
-    enc = vocab.select(F.col("symbol").alias("row_word"), (F.col("idx") - 1).alias("r"))
+    found = vb.token_table(words, "w", "doc_id").select(F.col("token").alias("row_word")).distinct()
+    enc = cut_lineage(found.withColumn("r", F.monotonically_increasing_id()))
     m = co.two_sided(words, "w", 5).join(enc, "row_word") \
         .join(enc.select(F.col("row_word").alias("col_word"), F.col("r").alias("c")), "col_word")
-    s, _, u = ve.sparse_svd(m, "r", "c", "weight", SVD_WORDS, 10)
+    s, scaled = ve.sparse_svd(m, "r", "c", "weight", 10)
     sv = spark.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "component int, singular_value double")
-    scaled = u.select("row", F.transform("u", lambda x, i: x * F.element_at(F.array(*[F.lit(float(v)) for v in s]),
-                                                                             i + 1)).alias("vec"))
-    top = scaled.join(enc.withColumnRenamed("r", "row"), "row")
+    top = enc.withColumnRenamed("r", "row").join(scaled, "row", "left")
     spectrum = sv.agg(F.sort_array(F.collect_list(F.struct("component", "singular_value"))).alias("spectrum"))
-    return top.select("row_word", F.size("vec").alias("k"), ar.l2_norm("vec").alias("norm")).crossJoin(spectrum)
+    return top.select("row_word", F.lit(len(s)).alias("k"), F.coalesce(ar.l2_norm("vec"), F.lit(0.0)).alias("norm")).crossJoin(spectrum)
 
 
 @query("e12_svd_dense")
