@@ -54,6 +54,19 @@ def test_quality_bands(spark):
     assert found[2].verdict in ("repetitive", "base") and Bands().band(2048)[1] < found[2].ratio
 
 
+def test_key_dumps_of_every_length(spark):
+    rnd = random.Random(62)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = []
+    for n in (200, 255, 256, 320, 383, 426, 447, 511, 575, 639, 700, 767, 870, 895, 1000, 1023, 1024, 1500, 2047, 2048, 5000, 9000, 40000):
+        size = min(n / 51 - 1, 30)
+        for _ in range(20):
+            dump = " ".join("".join(rnd.choices(signs, k=max(1, round(rnd.uniform(size - 1, size + 1))))) for _ in range(n))[:n]
+            texts += [dump] if len(dump.split()) >= 50 else []
+    found = quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(found) > 400 and [(len(texts[r.doc_id]), r.ratio, r.verdict) for r in found if r.verdict != "incompressible"] == []
+
+
 def test_quality_on_the_table(spark):
     rows = LLM_QUERIES["op2_quality_rules"](spark, SF001).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}

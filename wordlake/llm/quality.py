@@ -2,7 +2,8 @@
 
 zstandard ratios (bytes / compressed bytes) of the whole document and of fixed chunks are held against limits that
 depend on the length: repetitive text compresses too well, keys, dumps and noise hardly at all. Short texts compress
-badly for want of context, so the band widens downwards with fewer bytes and closes below ``128`` bytes altogether.
+badly for want of context, so the band widens downwards with fewer bytes and closes below ``128`` bytes altogether. The
+lowest ratios lie above what random words over 62 symbols reach at the longest length of their step.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ class Bands:
 
     #: (from so many bytes, lowest ratio, highest ratio), rising.
     limits: tuple[tuple[int, float, float], ...] = (
-        (0, 0.0, 4.0), (128, 0.9, 3.0), (256, 1.1, 3.0), (512, 1.25, 3.25), (1024, 1.35, 3.5), (2048, 1.4, 4.0),
-        (8192, 1.45, 4.5), (32768, 1.5, 5.0))
+        (0, 0.0, 4.0), (128, 1.2, 3.0), (384, 1.235, 3.0), (448, 1.25, 3.0), (512, 1.265, 3.25), (576, 1.28, 3.25),
+        (640, 1.3, 3.25), (768, 1.32, 3.25), (896, 1.335, 3.25), (1024, 1.37, 3.5), (2048, 1.4, 4.0), (8192, 1.45, 4.5),
+        (32768, 1.5, 5.0))
     chunk_bytes: int = 2048
     #: Shorter rests at the end of a document are left to the whole document's ratio.
     least_chunk: int = 1024
