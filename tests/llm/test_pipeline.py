@@ -75,3 +75,12 @@ def test_stages_take_odd_rows(spark, odd_docs, no_docs):
             if stage is not corpus_pipeline.encode:
                 frame = spark.read.parquet(path)
                 assert frame.columns == docs.columns
+
+
+def test_near_copies_are_decided_row_by_row(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(120))
+    a, b, c, d = (text(k) for k in "abcd")
+    rows = [(1, a), (2, a + " more"), (2, b), (5, c), (5, c + " more"), (6, c), (None, d), (None, d + " more"), (None, a + " end"), (7, ""), (7, ""), (8, None)]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF001).collect()
+    groups = sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:1]) for r in got)
+    assert groups == [(False, 1, "a"), (False, 2, "b"), (False, 5, "c"), (False, 7, ""), (False, 8, ""), (True, 0, "d")]
