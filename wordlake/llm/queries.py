@@ -11,11 +11,14 @@ from wordlake.llm.embedding_dedup import embedding_components
 from wordlake.llm.jaccard_join import jaccard_components
 from wordlake.llm.lm_scoring import lm_scores
 from wordlake.llm.mixing import mix_sources
+from wordlake.llm.period_runs import period_runs
 from wordlake.llm.quality import quality_rules
 from wordlake.llm.revisits import resolve_revisits
+from wordlake.llm.spelling import document_words, spelling_variants
 from wordlake.llm.suffix_dedup import suffix_dedup
 from wordlake.llm.token_counts import token_counts
 from wordlake.llm.toxicity import toxicity
+from wordlake.llm.winnowing import decontaminate
 from wordlake.sources.tables import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -106,6 +109,52 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("headers", lines)
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a stretch of 10 words (or a whole shorter item) of the benchmark."""
+    hit = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hit.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def misspelt(words: DataFrame) -> DataFrame:
+    """``words`` (doc_id, word) where every 199th pair of document and word lost one code point."""
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")))
+    at = F.pmod(F.col("h"), F.char_length("word")).cast("int")
+    cut = F.concat(F.substring(F.col("word"), F.lit(1), at), F.substring(F.col("word"), at + 2, F.char_length("word")))
+    return words.withColumn("h", h).select("doc_id", F.when(F.col("h") % 199 == 0, cut).otherwise(F.col("word")).alias("word"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some misspelt, with their usual spelling."""
+    return spelling_variants(misspelt(document_words(table(spark, sf_dir, "documents"))))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of ``docs``; every tenth document repeats a stretch of its words to its end (null ids: none)."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    w = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    w = w.withColumns({"n": F.size("w"), "g": F.floor(F.col("h") / 10)})
+    w = w.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    w = w.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.floor((F.col("n") - F.col("a")) / F.col("p")).cast("int") + 1
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times))
+    text = F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a")), F.slice(again, F.lit(1), F.col("n") - F.col("a")))
+    return w.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, the one of greatest exponent, and digests of the runs and of the collapsed texts."""
+    found = period_runs(with_periods(table(spark, sf_dir, "documents")))
+    best = F.when(F.size("runs") > 0, F.array_sort("runs", lambda a, b: F.when(
+        a["length"] * b["period"] > b["length"] * a["period"], -1).when(a["length"] * b["period"] < b["length"] * a["period"], 1)
+        .when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["period"] < b["period"], -1).when(a["period"] > b["period"], 1).otherwise(0))[0])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def _op5_sql() -> str:
     weights = ", ".join(f"('{k}', {float(v)})" for k, v in sorted(WEIGHTS.items()))
 
@@ -159,6 +208,25 @@ select record_id, canonical_url, ts, outcome, case when outcome = 'resolved' the
   case when outcome = 'resolved' then 'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || page_id || 'r' || chr(10)
     || 'etag: ' || (select any_value(k.digest) from k where k.page_id = o.page_id) end as headers from o"""
 
+#: Stretches are 10 words joined by one space; an item of fewer words is one stretch.
+OP11_SQL = r"""
+with d as (select doc_id, row_number() over () as k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bw as (select distinct item_id, span, array_to_string(w[i:i + span - 1], ' ') as stretch
+  from (select item_id, w, least(len(w), 10) as span, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from b where len(w) > 0)),
+spans as (select distinct span from bw),
+dw as (select k, i, span, array_to_string(w[i:i + span - 1], ' ') as stretch
+  from (select k, w, span, unnest(range(1, len(w) - span + 2)) as i from d, spans where len(w) >= span)),
+m as (select k, i, dw.span, item_id from dw join bw on dw.stretch = bw.stretch and dw.span = bw.span),
+hit as (select k, count(distinct p) as n_hit from (select k, unnest(range(i, i + span)) as p from m) group by k),
+ids as (select k, list_sort(list(distinct item_id::varchar)) as items from m group by k)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (k) left join ids using (k)"""
+
 LLM_QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_quality_rules, op3_projection_passes, op4_ngram_jaccard,
-                                         op5_source_mixing, op6_toxicity, op7_token_counts, op8_suffix_dedup, op9_bpe_round_trip, op10_warc_revisits)}
-LLM_SQL = {"op5_source_mixing": _op5_sql(), "op10_warc_revisits": OP10_SQL}
+                                         op5_source_mixing, op6_toxicity, op7_token_counts, op8_suffix_dedup, op9_bpe_round_trip, op10_warc_revisits,
+                                         op11_winnowing, op12_spelling_variants, op13_period_runs)}
+LLM_SQL = {"op5_source_mixing": _op5_sql(), "op10_warc_revisits": OP10_SQL, "op11_winnowing": OP11_SQL}
