@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from wordlake.llm.textblocks import trimmed_group
 from wordlake.session import cut_lineage
 
-RUN = r"[A-Za-zÀ-ÿ]+"
+OTHER = r"[^A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_LENGTH, MIN_COUNT, RATIO = 6, 5, 5
 
 
 def document_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, word) for every maximal run of letters of every text, A-Z in lower case; null texts have none."""
-    runs = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(RUN), F.lit(0))).alias("run"))
+    runs = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.split(F.col(text_col), OTHER)).alias("run")).where("run <> ''")
     upper = F.col("run").rlike("[A-Z]")
     return runs.select("doc_id", F.when(upper, F.translate("run", UPPER, LOWER)).otherwise(F.col("run")).alias("word"))
 
