@@ -256,20 +256,6 @@ def test_nmf_error_decreases(spark):
     assert all(abs(r.s - 1) < 1e-9 for r in shares)
 
 
-def test_nearest_in_blocks(spark, monkeypatch):
-    """More rows than a block on both sides, ties by key, null vectors left out."""
-    monkeypatch.setattr(ve, "BLOCK_ROWS", 7)
-    rng = np.random.default_rng(3)
-    t, q = rng.integers(-3, 4, (60, 3)).astype(float), rng.integers(-3, 4, (20, 3)).astype(float)
-    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(t)] + [(99, None)], "word long, vec array<double>")
-    queries = spark.createDataFrame([(f"q{i}", x.tolist()) for i, x in enumerate(q)], "qid string, vec array<double>")
-    for method, score in (("cos", lambda a, b: -a @ b), ("euclid", lambda a, b: ((a - b) ** 2).sum()), ("l1", lambda a, b: abs(a - b).sum())):
-        want = {(f"q{i}", j, k + 1) for i, x in enumerate(q)
-                for k, j in enumerate(sorted(range(len(t)), key=lambda j: (score(x, t[j]), j))[:4])}
-        got = {(r.qid, r.key, r["rank"]) for r in ve.nearest(queries, table, 4, method).collect()}
-        assert got == want
-
-
 def test_empty_texts_keep_their_rows(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "k long, w array<string>")
     vocab = spark.createDataFrame([("a", 1), ("b", 2)], "symbol string, idx long")

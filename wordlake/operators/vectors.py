@@ -2,14 +2,12 @@
 SVD and word-vector training (E1-E14).
 
 A vector table is ``(word, vec array<double>)``. Nearest-neighbour search
-packs both sides into blocks of rows; each pair of blocks is one matrix
-product that keeps its top k per query, and the kept rows are merged.
+is in ``search``.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -19,11 +17,9 @@ from pyspark.sql import types as T
 
 from wordlake.functions import arrays as ar
 from wordlake.operators.ordering import global_index
-from wordlake.operators.relational import top_n_per_group
+from wordlake.operators.search import nearest  # noqa: F401
 from wordlake.session import cut_lineage
 
-BLOCK_ROWS = 2048
-
 
 def zeros(dim: int):
     return F.array_repeat(F.lit(0.0), dim)
@@ -96,72 +92,6 @@ def text_vectors(tokens: DataFrame, vectors: DataFrame, key, dim: int, token_col
     return normalize(out) if normalize_out else out
 
 
-def _packed(rows: DataFrame, key: str, prefix: str) -> DataFrame:
-    """Blocks of at most ``BLOCK_ROWS`` rows: ``<prefix>_keys`` and the flat
-    ``<prefix>_vecs``. Null vectors are left out."""
-    src = rows.select(F.col(key).alias("key"), as_double_vec("vec").alias("vec")).where(F.col("vec").isNotNull())
-    kind = src.schema["key"].dataType.simpleString()
-
-    def pack(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                keys, vecs = part.column(0), part.column(1).flatten()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (keys, vecs)],
-                    names=[f"{prefix}_keys", f"{prefix}_vecs"])
-    return src.mapInArrow(pack, f"{prefix}_keys array<{kind}>, {prefix}_vecs array<double>")
-
-
-def _scores(q: np.ndarray, t: np.ndarray, method: str):
-    """One row of scores per query."""
-    if method == "cos":
-        yield from q @ t.T
-    else:
-        for x in q:
-            gap = t - x
-            yield (gap * gap).sum(axis=1) if method == "euclid" else np.abs(gap).sum(axis=1)
-
-
-def nearest(queries: DataFrame, table: DataFrame, k: int = 10, method: str = "cos",
-            query_key: str = "qid", table_key: str = "word", tie_digits: int = 9) -> DataFrame:
-    """Top-k rows of ``table`` for each query vector.
-
-    ``cos``: dot product (vectors assumed normalized), descending;
-    ``euclid``: squared distance ascending; ``l1``: L1 distance ascending.
-    Scores are ranked after rounding to ``tie_digits`` so that equal vectors
-    (duplicate texts) tie exactly whatever the summation order; ties are
-    broken by the table key. The query itself is not excluded. Any number of
-    queries: blocks of queries meet blocks of the table, and only the k best
-    rows of a query leave a pair of blocks. Null vectors take no part.
-    """
-    if method not in ("cos", "euclid", "l1"):
-        raise ValueError(method)
-    kind = {"q": queries.schema[query_key].dataType.simpleString(), "t": table.schema[table_key].dataType.simpleString()}
-    sign = -1.0 if method == "cos" else 1.0
-
-    def best(frames):
-        for frame in frames:
-            for q_keys, q_vecs, t_keys, t_vecs in zip(frame["q_keys"], frame["q_vecs"], frame["t_keys"], frame["t_vecs"]):
-                q, t = np.reshape(q_vecs, (len(q_keys), -1)), np.reshape(t_vecs, (len(t_keys), -1))
-                t_keys = np.asarray(t_keys)
-                by_key = np.argsort(t_keys, kind="stable")
-                t, t_keys = t[by_key], t_keys[by_key]
-                found = []
-                for key, score in zip(q_keys, _scores(q, t, method)):
-                    rank = sign * np.round(score, tie_digits)
-                    near = np.arange(len(rank))
-                    if len(rank) > k:
-                        near = np.flatnonzero(rank <= np.partition(rank, k - 1)[k - 1])
-                    near = near[np.argsort(rank[near], kind="stable")][:k]
-                    found.append(pd.DataFrame({"qid": [key] * len(near), "key": t_keys[near], "score": score[near],
-                                               "__r": rank[near]}))
-                yield pd.concat(found)
-    blocks = _packed(table, table_key, "t").crossJoin(_packed(queries, query_key, "q"))
-    scored = blocks.mapInPandas(best, f"qid {kind['q']}, key {kind['t']}, score double, __r double")
-    return top_n_per_group(scored, ["qid"], [F.asc("__r"), F.asc("key")], k).drop("__r")
-
-
 def similarity(vectors: DataFrame, a: str, b: str) -> DataFrame:
     """Dot product of two words' vectors."""
     va = vectors.where(F.col("word") == a).select(F.col("vec").alias("a"))

@@ -19,6 +19,7 @@ from wordlake.operators import models as md
 from wordlake.operators import topics as tp
 from wordlake.operators import vectors as ve
 from wordlake.operators import vocab as vb
+from wordlake.operators import wordvectors as wv
 from wordlake.plans.registry import Tables, query
 from wordlake.session import cut_lineage
 
@@ -31,9 +32,16 @@ def _bow_min_df(t):
     return vb.bag_of_words(vb.token_table(w, "w", "doc_id"), "doc_id", min_df=20)
 
 
+_FITS: dict[tuple, tuple] = {}
+
+
 def _nmf(spark, d, iterations=ITERATIONS):
+    """One fit for all topic queries over the same files in one application; its tables lie in the checkpoint folder."""
     t = Tables(spark, d)
-    W, H = tp.nmf(_bow_min_df(t), "doc_id", "term", "tf", K_TOPICS, iterations, seed=0)
+    key = (spark.sparkContext.applicationId, tuple(sorted(t.documents.inputFiles())), iterations)
+    if key not in _FITS:
+        _FITS[key] = tp.nmf(_bow_min_df(t), "doc_id", "term", "tf", K_TOPICS, iterations, seed=0)
+    W, H = _FITS[key]
     return tp.with_all_docs(W, t.documents.select(F.col("doc_id").alias("doc")), K_TOPICS), H
 
 
@@ -108,6 +116,16 @@ def e14_word2vec(spark, d):
     return ve.train_word2vec(words, "w", 30, 5)[1]
 
 
+@query("e14_sharded_vectors")
+def e14_sharded_vectors(spark, d):
+    """Skip-gram vectors (dim 32, window 5, min count 5, 2 epochs) by
+    negative sampling, parameters sharded by word; every epoch's mean loss."""
+    words = Tables(spark, d).documents.select("doc_id", tx.letters_only_words("text").alias("w"))
+    vocab = vb.token_table(words, "w", "doc_id").groupBy(F.col("token").alias("symbol")).agg(F.count("*").alias("freq")).where("freq >= 5")
+    vectors, losses = wv.skipgram_vectors(wv.pair_counts(words, "w", 5), vocab, 32, epochs=2)
+    return vectors.select("word", "vec", F.array(*(F.lit(float(x)) for x in losses)).alias("losses"))
+
+
 def _labelled_features(t):
     f = md.document_features(t.documents)
     return f.join(t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
