@@ -122,7 +122,7 @@ def _vectors(column, dim: int) -> np.ndarray:
 
 
 def _clean(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(F.col(key).alias("key"), F.transform("vec", lambda x: x.cast("double")).alias("vec")).where(F.col("vec").isNotNull())
+    return rows.select(F.col(key).alias("key"), F.col("vec").cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
 
 
 def _found(best: Best, qid: pa.Array, keys: pa.Array, limit: np.ndarray | None = None) -> pa.RecordBatch:

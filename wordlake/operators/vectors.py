@@ -26,7 +26,7 @@ def zeros(dim: int):
 
 
 def as_double_vec(col) -> F.Column:
-    return F.transform(F.col(col) if isinstance(col, str) else col, lambda x: x.cast("double"))
+    return (F.col(col) if isinstance(col, str) else col).cast("array<double>")
 
 
 def aligned_matrix(vocab: DataFrame, vectors: DataFrame, dim: int, zero_row: bool = True) -> DataFrame:
@@ -77,21 +77,86 @@ def normalize(vectors: DataFrame, col: str = "vec", out: str | None = None) -> D
                                                   .otherwise(x.cast("double") / F.col("__norm")))).drop("__norm")
 
 
+def _text_terms(tokens: DataFrame, vectors: DataFrame, keys: list[str], token_col: str, dim: int, fallback=None) -> DataFrame:
+    """(keys..., word, n, v) of every distinct word of a text: a vector is joined once per text and word."""
+    v = vectors.select(F.col("word").alias("__w"), F.col("vec").alias("__v"))
+    terms = tokens.groupBy(*keys, F.col(token_col).alias("word")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    fb = fallback if fallback is not None else zeros(dim)
+    return terms.join(v, terms["word"] == v["__w"], "left").select(*keys, "word", "n", array_to_vector(F.coalesce("__v", fb)).alias("v"))
+
+
 def text_vectors(tokens: DataFrame, vectors: DataFrame, key, dim: int, token_col: str = "token",
                  fallback=None, normalize_out: bool = True) -> DataFrame:
     """Text vector = mean of its token vectors (misses use ``fallback``,
     zeros by default), then l2-normalized. Mean via Summarizer (partial
-    aggregation of ml vectors), not an explode per dimension."""
+    aggregation of ml vectors, weighted by the word's count in the text), not
+    an explode per dimension."""
     keys = [key] if isinstance(key, str) else list(key)
-    v = vectors.select(F.col("word").alias("__w"), F.col("vec").alias("__v"))
-    j = tokens.join(v, tokens[token_col] == v["__w"], "left")
-    fb = fallback if fallback is not None else zeros(dim)
-    j = j.select(*keys, array_to_vector(F.coalesce("__v", fb)).alias("__vv"))
-    m = j.groupBy(*keys).agg(Summarizer.mean(F.col("__vv")).alias("__m"))
+    terms = _text_terms(tokens, vectors, keys, token_col, dim, fallback)
+    m = terms.groupBy(*keys).agg(Summarizer.mean(F.col("v"), F.col("n")).alias("__m"))
     out = m.select(*keys, vector_to_array("__m").alias("vec"))
     return normalize(out) if normalize_out else out
 
 
+def weighted_text_vectors(tokens: DataFrame, vectors: DataFrame, key, dim: int, token_col: str = "token", a: float = 1e-3,
+                          common: int = 1, fallback=None) -> DataFrame:
+    """E9 with frequency weights: a word of corpus share p weighs a / (a + p) (Arora, Liang and Ma, 2017); then the
+    ``common`` first directions of all texts, by power iteration on the dim x dim matrix of their products, are taken
+    out, and what is left is l2-normalized. Corpus counts are one aggregate; only that matrix reaches the driver."""
+    keys = [key] if isinstance(key, str) else list(key)
+    terms = _text_terms(tokens, vectors, keys, token_col, dim, fallback)
+    counts = tokens.groupBy(F.col(token_col).alias("__t")).agg(F.count(F.lit(1)).cast("double").alias("__c"))
+    total = counts.agg(F.sum("__c").alias("__all"))  # one row
+    share = counts.crossJoin(F.broadcast(total)).select("__t", (F.col("__c") / F.col("__all")).alias("__p"))
+    weighed = terms.join(share, terms["word"] == share["__t"]).withColumn("weight", F.col("n") * a / (a + F.col("__p")))
+    m = weighed.groupBy(*keys).agg(Summarizer.mean(F.col("v"), F.col("weight")).alias("__m"))
+    rows = m.select(*keys, vector_to_array("__m").alias("vec"))
+    if not common:
+        return normalize(rows)
+    rows = cut_lineage(rows)
+    basis = power_directions(row_products(rows, "vec", dim), common)
+    for j in range(basis.shape[1]):
+        way = F.array(*[F.lit(float(x)) for x in basis[:, j]])
+        rows = rows.withColumn("__s", ar.dot("vec", way)).withColumn(
+            "vec", F.zip_with("vec", way, lambda x, y: x - F.col("__s") * y)).drop("__s")
+    return normalize(rows)
+
+
+def row_products(rows: DataFrame, vec_col: str, dim: int) -> np.ndarray:
+    """Sum of x x^T over all rows: one dim x dim matrix a partition to the driver."""
+    def partial(batches):
+        g = np.zeros((dim, dim))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            g += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()])], names=["g"])
+
+    parts = rows.select(vec_col).mapInArrow(partial, "g binary").collect()
+    return sum((np.frombuffer(r.g).reshape(dim, dim) for r in parts), np.zeros((dim, dim)))
+
+
+def power_directions(products: np.ndarray, k: int, tolerance: float = 1e-12, most: int = 10_000) -> np.ndarray:
+    """The first k eigenvectors (columns) of a symmetric matrix by power iteration and deflation."""
+    left, out = products.copy(), []
+    for _ in range(min(k, len(products))):
+        x = left @ np.linspace(1, 2, len(left))
+        for _ in range(most):
+            size = np.linalg.norm(x)
+            if size == 0:
+                break
+            y = left @ (x / size)
+            done = np.linalg.norm(y - x * (x @ y) / size ** 2) <= tolerance * max(np.linalg.norm(y), 1e-300)
+            x = y
+            if done:
+                break
+        size = np.linalg.norm(x)
+        if size == 0:
+            break
+        out.append(x / size)
+        left = left - np.outer(out[-1], out[-1]) * (out[-1] @ left @ out[-1])
+    return np.array(out).T if out else np.zeros((len(products), 0))
+
+
 def similarity(vectors: DataFrame, a: str, b: str) -> DataFrame:
     """Dot product of two words' vectors."""
     va = vectors.where(F.col("word") == a).select(F.col("vec").alias("a"))

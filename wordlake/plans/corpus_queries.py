@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wordlake.functions import text as tx
 from wordlake.operators import cooccur as co
 from wordlake.operators import corpus_windows as cw
+from wordlake.operators import sentences as se
 from wordlake.plans import sqlfrag as q
 from wordlake.plans.registry import Tables, query
 
@@ -103,3 +104,54 @@ def w09_corpus_rows(spark, d):
     names = segments.select("stream", "at", F.posexplode("keys").alias("i", "key"))
     return cw.skipgram_rows(segments, 3).join(names, ["stream", "at", "i"]).select(
         "key.conv_id", "key.turn", F.col("key.pos").cast("long").alias("pos"), "offset", "word", "context")
+
+
+_OPEN, _CLOSE = r"""["''(\[]""", r"""["'')\]]"""
+
+
+def _core_sql(x: str) -> str:
+    inner = f"""regexp_replace({x}, '^{_OPEN}+|["'')\\],;:!?]+$', '', 'g')"""
+    return f"lower(regexp_replace({inner}, '\\.$', ''))"
+
+
+def _ends_sql(x: str, marks: str) -> str:
+    return f"coalesce(regexp_matches({x}, '[{marks}]{_CLOSE}*$'), false)"
+
+
+_UPPER = f"regexp_matches({{}}, '^{_OPEN}*\\p{{{{Lu}}}}')"
+_SENTENCE_SQL = f"""
+d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS w FROM documents),
+pl AS MATERIALIZED (SELECT doc_id, i - 1 AS i, w[i] AS cur, w[i + 1] AS nxt, CASE WHEN i > 1 THEN w[i - 1] END AS prv
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0)),
+st AS (SELECT {_core_sql('cur')} AS word, count(*) AS n, count(*) FILTER (WHERE {_ends_sql('cur', '.')}) AS a,
+  count(*) FILTER (WHERE regexp_matches(cur, '^{_OPEN}*\\p{{Ll}}')) AS n_lower,
+  count(*) FILTER (WHERE {_UPPER.format('cur')} AND prv IS NOT NULL AND NOT {_ends_sql('prv', '.!?')}) AS n_up FROM pl GROUP BY 1),
+tot AS (SELECT sum(n)::DOUBLE AS an, sum(a)::DOUBLE AS aa FROM st),
+sc AS MATERIALIZED (SELECT word, n_lower > n_up AS common, CASE WHEN l > 0 AND regexp_matches(word, '\\p{{L}}') AND a > 0 AND aa / an < 0.99 THEN
+    -2 * (a * ln(aa / an) + CASE WHEN n > a THEN (n - a) * ln(1 - aa / an) ELSE 0 END - (a * ln(0.99) + (n - a) * ln(1 - 0.99)))
+    * exp(-l) * (length(word) - l + 1) * pow(l, -(n - a)) ELSE 0 END AS score
+  FROM (SELECT *, length(replace(word, '.', ''))::DOUBLE AS l FROM st), tot),
+stops AS (SELECT doc_id, i FROM (SELECT doc_id, i, {_core_sql('cur')} AS word, {_core_sql('nxt')} AS next, coalesce({_UPPER.format('nxt')}, false) AS upper
+    FROM pl WHERE {_ends_sql('cur', '.')} AND nxt IS NOT NULL) h JOIN sc a ON a.word = h.word JOIN sc b ON b.word = h.next
+  WHERE NOT (a.score >= 0.3 OR regexp_matches(h.word, '^\\p{{L}}$')) OR (h.upper AND b.common)
+  UNION SELECT doc_id, i FROM pl WHERE {_ends_sql('cur', '!?')}),
+tk AS (SELECT pl.doc_id, pl.i, cur, count(s.i) OVER (PARTITION BY pl.doc_id ORDER BY pl.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sent_id
+  FROM pl LEFT JOIN stops s ON s.doc_id = pl.doc_id AND s.i = pl.i)"""
+
+
+@query("t10_learned_sentences", f"""WITH {_SENTENCE_SQL}
+SELECT doc_id, sent_id, md5(string_agg(cur, ' ' ORDER BY i)) AS h FROM tk GROUP BY doc_id, sent_id""")
+def t10_learned_sentences(spark, d):
+    """Sentences of all documents, abbreviations learned from the corpus."""
+    s = se.split_sentences(Tables(spark, d).documents, "doc_id")
+    return s.select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), F.md5(F.array_join("tokens", " ")).alias("h"))
+
+
+@query("s11_sentence_words", f"""WITH {_SENTENCE_SQL},
+wd AS (SELECT doc_id, sent_id, i, lower(regexp_replace(cur, '^[^\\p{{L}}\\p{{Nd}}]+|[^\\p{{L}}\\p{{Nd}}]+$', '', 'g')) AS word FROM tk)
+SELECT doc_id, sent_id, count(*) FILTER (WHERE word <> '') AS n_words, md5(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE word <> ''), '')) AS h
+FROM wd GROUP BY doc_id, sent_id""")
+def s11_sentence_words(spark, d):
+    """The table of sentences and their lower-case words."""
+    w = se.sentence_words(se.split_sentences(Tables(spark, d).documents, "doc_id"), "doc_id")
+    return w.select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), F.size("words").cast("long").alias("n_words"), F.md5(F.array_join("words", " ")).alias("h"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wordlake.functions import arrays as ar
 from wordlake.functions import math as mt
 from wordlake.functions import text as tx
+from wordlake.operators import boosting as bo
 from wordlake.operators import cooccur as co
 from wordlake.operators import dataset as ds
 from wordlake.operators import evaluate as ev
@@ -220,3 +221,39 @@ def m06_stacking(spark, d):
     base = {"p_rf": lambda: md.classifier("rf"), "p_gbt": lambda: md.classifier("gbt")}
     return md.stack(folded, "fold", 3, base, md.DOC_FEATURES, "doc_id", "label")
 
+
+
+def _event_features(t):
+    e = t.events.where(F.col("value").isNotNull())
+    return e.select("event_id", F.hour("ts").alias("hour"), F.dayofweek("ts").alias("dow"), (F.col("user_id") % 10).alias("user_mod"),
+                    (F.xxhash64("event_type") % 100).alias("kind"), "value", (F.pmod(F.xxhash64(F.col("event_id"), F.lit(3)), F.lit(5)) == 0).alias("held_out"))
+
+
+@query("m04_second_order_trees")
+def m04_second_order_trees(spark, d):
+    """M4: boosted trees by second-order gain on histograms (log loss), fitted
+    on four fifths of the labelled documents; probabilities of the rest."""
+    f = _labelled_features(Tables(spark, d)).withColumn("held_out", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0)
+    model = bo.fit_trees(f.where(~F.col("held_out")), md.DOC_FEATURES, "label", "logistic", rounds=10)
+    return bo.predict(f.where("held_out"), md.DOC_FEATURES, model, ["doc_id", "label"], "probability")
+
+
+@query("m05_linear_booster")
+def m05_linear_booster(spark, d):
+    """M5: linear booster by block coordinate Newton steps, fitted on four
+    fifths of the labelled documents; probabilities of the rest."""
+    f = _labelled_features(Tables(spark, d)).withColumn("held_out", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0)
+    model = bo.fit_linear(f.where(~F.col("held_out")), md.DOC_FEATURES, "label", "logistic", rounds=6)
+    return bo.predict(f.where("held_out"), md.DOC_FEATURES, model, ["doc_id", "label"], "probability")
+
+
+@query("k03_fitted_regression")
+def k03_fitted_regression(spark, d):
+    """K3: a regression checked as a classification: event values predicted by
+    boosted trees, truth and prediction classified at the mean of the training values."""
+    cols = ["hour", "dow", "user_mod", "kind"]
+    e = _event_features(Tables(spark, d))
+    model = bo.fit_trees(e.where(~F.col("held_out")), cols, "value", "squared", rounds=5)
+    p = bo.predict(e.where("held_out"), cols, model, ["event_id", "value"])
+    p = p.select((F.col("value") >= model.base).cast("int").alias("truth"), (F.col("prediction") >= model.base).cast("int").alias("pred"))
+    return ev.confusion(p, "truth", "pred")

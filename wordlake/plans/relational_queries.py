@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wordlake.functions import text as tx
 from wordlake.operators import relational as rl
+from wordlake.operators import sketches as sk
 from wordlake.operators import stats as st
 from wordlake.operators import vocab as vb
 from wordlake.plans import sqlfrag as q
@@ -236,6 +237,21 @@ def a06_distinct(spark, d):
     return Tables(spark, d).orders.select("o_orderpriority", "o_orderstatus").distinct()
 
 
+@query("a06_sketched", """SELECT o_orderpriority, o_orderstatus, count(DISTINCT o_custkey) AS exact_n, true AS close FROM orders
+GROUP BY ALL UNION ALL SELECT 'all', 'all', count(DISTINCT o_custkey), true FROM orders""")
+def a06_sketched(spark, d):
+    """Distinct customers by mergeable sketches, per status and
+    priority and merged over all, within five standard errors (and 2) of the exact counts."""
+    o = Tables(spark, d).orders
+    keys = ["o_orderpriority", "o_orderstatus"]
+    parts = sk.distinct_sketches(o, keys, "o_custkey")
+    total = sk.merged(parts.withColumns({k: F.lit("all") for k in keys}), keys)
+    exact = o.groupBy(*keys).agg(F.countDistinct("o_custkey").alias("exact_n")).unionByName(
+        o.agg(F.countDistinct("o_custkey").alias("exact_n")).select(*(F.lit("all").alias(k) for k in keys), "exact_n"))
+    both = sk.estimates(parts.unionByName(total)).join(exact, keys)
+    return both.select(*keys, "exact_n", (F.abs(F.col("n") - F.col("exact_n")) <= F.col("exact_n") * 5 * sk.standard_error() + 2).alias("close"))
+
+
 @query("a07_scalars", """SELECT max(o_totalprice) AS max_price, min(o_totalprice) AS min_price,
   round(sum(o_totalprice), 2) AS sum_price, round(avg(o_totalprice), 6) AS mean_price,
   (SELECT arg_max(doc_id, (n_chars, -doc_id)) FROM documents) AS longest_doc,

@@ -237,7 +237,8 @@ def v14_encoder_features(spark, d):
     t = Tables(spark, d)
     words, vocab = _vocab_docs(t)
     vocab4 = vocab.withColumn("idx", F.col("idx") + 4)
-    enc = vb.encode_arrays(words, "w", vocab4, "ids", unk_idx=1, keys="doc_id")
+    first = words.withColumn("w", F.slice("w", 1, 126))  # only these are encoded
+    enc = vb.encode_arrays(first, "w", vocab4, "ids", unk_idx=1, keys="doc_id")
     f = enc.select("doc_id", sq.encoder_features("ids", 128, 2, 3, 0).alias("f"))
     return f.select("doc_id", F.md5(ar.int_array_string("f.input_ids")).alias("h"),
                     F.aggregate("f.input_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("mask_sum"),

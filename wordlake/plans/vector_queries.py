@@ -199,6 +199,30 @@ def e09_text_vectors(spark, d):
         "doc_id", F.col("dim").cast("long").alias("dim"), F.round("x", R6).alias("x"))
 
 
+@query("e09_weighted_vectors", f"""WITH tk AS (SELECT doc_id, unnest(w) AS token FROM {_DOC_W}),
+p AS (SELECT token, count(*)::DOUBLE / (SELECT count(*) FROM tk) AS p FROM tk GROUP BY token),
+n AS (SELECT doc_id, token, count(*) * 1e-3 / (1e-3 + any_value(p.p)) AS w FROM tk JOIN p USING (token) GROUP BY doc_id, token),
+m AS (SELECT doc_id, dd, sum(w * x) / sum(w) AS a FROM (SELECT doc_id, w, unnest(generate_series(1, 64)) AS dd, unnest(coalesce(wv.vec, repeat([0.0], 64))) AS x
+  FROM n LEFT JOIN {_WV_SQL} wv ON n.token = wv.word) GROUP BY doc_id, dd)
+SELECT doc_id, generate_subscripts(vec, 1) - 1 AS dim, round(unnest(vec), 6) AS x FROM (
+  SELECT doc_id, {_norm_sql('v')} AS vec FROM (SELECT doc_id, list(a ORDER BY dd) AS v FROM m GROUP BY doc_id))""")
+def e09_weighted_vectors(spark, d):
+    """Document vectors with frequency weights 0.001 / (0.001 + share)."""
+    t = Tables(spark, d)
+    dt = vb.token_table(t.documents.select("doc_id", tx.letters_only_words("text").alias("w")), "w", "doc_id")
+    dv = ve.weighted_text_vectors(dt, _word_vectors(t), "doc_id", DIM, common=0)
+    return dv.select("doc_id", F.posexplode("vec").alias("dim", "x")).select(
+        "doc_id", F.col("dim").cast("long").alias("dim"), F.round("x", R6).alias("x"))
+
+
+@query("e09_common_removed")
+def e09_common_removed(spark, d):
+    """The weighted document vectors without their first common direction."""
+    t = Tables(spark, d)
+    dt = vb.token_table(t.documents.select("doc_id", tx.letters_only_words("text").alias("w")), "w", "doc_id")
+    return ve.weighted_text_vectors(dt, _word_vectors(t), "doc_id", DIM).select("doc_id", F.transform("vec", lambda x: F.round(x, R6)).alias("vec"))
+
+
 @query("e10_similarity", f"""WITH v AS {_VOCAB_SQL}, wv AS {_WV_SQL}
 SELECT round({_dot_sql('a.vec', 'b.vec')}, 6) AS similarity FROM wv a, wv b
 WHERE a.word = (SELECT symbol FROM v WHERE idx = 0) AND b.word = (SELECT symbol FROM v WHERE idx = 1)""")
