@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordlake.llm import textblocks as tb
+from wordlake.session import cut_lineage
 
 LENGTH, STEP = 32, 16
 PER_CLASS, LONGEST = 4000, 64 << 10
@@ -260,15 +261,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str
     ``train_rows`` says of ids which labels may be learnt from (null: not); labels other than 0 and 1, and labels of
     null or unknown ids, are ignored, of contradicting ones the greatest counts. Null texts count as empty ones, which
     have a score as well. Without training labels of both classes every score is the share of toxic ones among all
-    labelled ids that may be learnt from, 0 if there are none. Other columns are not read; a label that may not be
+    labelled ids that may be learnt from, 0 if there are none. Of several texts of one id the least in byte order is learnt
+    from. Other columns are not read; a label that may not be
     learnt from, or whose id is in no document, never enters a score.
     """
     label = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train_rows, F.lit(False)).alias("use"))
-    share = {r.y: r["count"] for r in texts.where("use").select("id").distinct().join(label, "id").groupBy("y").count().collect()}
-    known = texts.where(F.col("use") & (F.octet_length("text") <= LONGEST)).drop("use").join(label, "id")
-    few = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS) for y in (0, 1)]  # PER_CLASS rows at most
-    sample = few[0].unionByName(few[1]).toArrow()
+    known = texts.where("use").select("id", F.octet_length("text").alias("size")).groupBy("id").agg(F.min("size").alias("size")).join(label, "id")
+    share = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    few = [known.where((F.col("y") == y) & (F.col("size") <= LONGEST)).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS) for y in (0, 1)]
+    chosen = cut_lineage(few[0].unionByName(few[1]).select("id", "y"))  # 2 * PER_CLASS ids at most, whose texts alone are fetched
+    held = texts.where(F.col("use") & (F.octet_length("text") <= LONGEST)).join(F.broadcast(chosen), "id")
+    sample = held.groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("y", F.xxhash64("id"), "id").toArrow()
     y = sample.column("y").to_numpy().astype(np.int64) if sample.num_rows else np.zeros(0, np.int64)
     rate = share.get(1, 0) / max(1, sum(share.values()))
     net = None
