@@ -12,7 +12,8 @@ anchors are sorted and each carries the few bytes to its left that its windows n
    one wins unseen, equal ones are compared behind it, known prefixes never again. The merged order comes with the
    shared length of neighbours, which gives for each window length the suffixes with equal right parts; with equal
    left parts (64-bit hashes) they are equal windows, and all but the earliest are marked.
-4. Marks go back to their documents. The documents are exchanged by id once and used in steps 2 and 4.
+4. Marks go back to their documents. The documents are exchanged by id for step 2 and again, with the columns to keep, for
+   step 4.
 """
 
 from __future__ import annotations
