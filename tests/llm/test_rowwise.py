@@ -170,3 +170,22 @@ def test_token_counts(spark, odd_docs, no_docs):
         each = [best_of(w.encode(), v) for w in WORD.findall(src.text or "")]
         assert (r.n_pretokens, r.n_tokens) == (len(each), sum(c for _, c in each))
         assert r.best_score == pytest.approx(sum(s for s, _ in each))
+
+
+def test_a_chunk_is_judged_by_its_own_length():
+    """A text of one short chunk between the limits of its length and those of a full chunk passes."""
+    import random
+
+    import zstandard
+
+    from wordlake.llm.quality import Bands, _compression
+
+    bands, squeeze = Bands(), zstandard.ZstdCompressor(level=3).compress
+    rng, met = random.Random(8), 0
+    for n in range(1100, 2040, 4):
+        raw = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFG") for _ in range(6)) for _ in range(n))[:n].encode()
+        ratio, chunks, high, low = _compression(raw, bands, squeeze)
+        if bands.band(n)[0] <= ratio < bands.band(bands.chunk_bytes)[0]:
+            met += 1
+            assert (chunks, high, low) == (1, 0, 0)
+    assert met

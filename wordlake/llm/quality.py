@@ -50,10 +50,9 @@ FIELDS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 def _compression(raw: bytes, bands: Bands, squeeze) -> tuple[float, int, int, int]:
     ratio = len(raw) / len(squeeze(raw)) if raw else 0.0
-    lo, hi = bands.band(bands.chunk_bytes)
     chunks = [raw[k : k + bands.chunk_bytes] for k in range(0, len(raw), bands.chunk_bytes)]
-    each = [len(c) / len(squeeze(c)) for c in chunks if len(c) >= bands.least_chunk]
-    return ratio, len(each), sum(r > hi for r in each), sum(r < lo for r in each)
+    each = [(len(c) / len(squeeze(c)), *bands.band(len(c))) for c in chunks if len(c) >= bands.least_chunk]
+    return ratio, len(each), sum(r > hi for r, _, hi in each), sum(r < lo for r, lo, _ in each)
 
 
 def _base(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
