@@ -183,7 +183,7 @@ def test_a_chunk_is_judged_by_its_own_length():
     bands, squeeze = Bands(), zstandard.ZstdCompressor(level=3).compress
     rng, met = random.Random(8), 0
     for n in range(1100, 2040, 4):
-        raw = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFG") for _ in range(6)) for _ in range(n))[:n].encode()
+        raw = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQR") for _ in range(6)) for _ in range(n))[:n].encode()
         ratio, chunks, high, low = _compression(raw, bands, squeeze)
         if bands.band(n)[0] <= ratio < bands.band(bands.chunk_bytes)[0]:
             met += 1
