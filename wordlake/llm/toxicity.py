@@ -13,6 +13,7 @@ is a positive example, of others that window and random ones are negative. Scori
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -280,6 +281,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str
         chunk = sample.column("text").combine_chunks()
         net = train(chunk, y)
         calibrate(net, np.concatenate([net.logits(d, o) for _, _, d, o in tb.blocks(chunk, 1 << 20)]), y, min(max(rate, 0.01), 0.99))
+        del chunk
+    del sample  # the driver keeps the network, not what its training took
+    gc.collect()
+    tb._give_back()
     net = docs.sparkSession.sparkContext.broadcast(net)  # VOCABULARY words at most
 
     def score(batches):
