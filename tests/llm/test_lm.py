@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF001
 from wordlake.llm import lm_scoring
+from wordlake.llm import textblocks as tb
 from wordlake.llm.lattice import Vocabulary, load_pieces, marginal_of
-from wordlake.llm.lm_scoring import CLASS_SHARE, CLASSES, lm_scores
+from wordlake.llm.lm_scoring import lm_scores
 from wordlake.llm.queries import LLM_QUERIES, PIECES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -23,52 +24,72 @@ def words_of(text):
     return WORD.findall((text or "").translate(LOWER))
 
 
-def brute(rows):
-    """(doc_id, text, class number, train) -> {position: (n_tokens, n_known, train_tokens, base, score)}."""
-    by = [Counter() for _ in range(CLASSES)]
-    ends = [0] * CLASSES
-    for _, text, k, train in rows:
+def segmentations(span, v):
+    """Every segmentation of a word as a list of piece numbers."""
+    first, later = v.by_text
+
+    def rest(at):
+        if at == len(span):
+            yield []
+        for end in range(at + 1, len(span) + 1):
+            if (p := later.get(span[at:end])) is not None:
+                yield from ([p, *tail] for tail in rest(end))
+
+    for end in range(len(span) + 1):
+        if (p := first.get(span[:end])) is not None:
+            yield from ([p, *tail] for tail in rest(end))
+
+
+def enumerated(span, v, ways):
+    """(log probability without the end, expected uses) by adding up all segmentations; long words by the recursion."""
+    if len(span) > 10:
+        return marginal_of(span, v, True)
+    if span not in ways:
+        ways[span] = list(segmentations(span, v))
+    each = [math.exp(sum(v.scores[p] for p in way)) for way in ways[span]]
+    uses = np.zeros(len(v.pieces))
+    for way, x in zip(ways[span], each):
+        np.add.at(uses, way, x / sum(each))
+    return math.log(sum(each)), uses
+
+
+def brute(rows, rounds):
+    """(doc_id, text, train) -> [(n_tokens, n_known, train_tokens, base, score)]."""
+    total, ends = Counter(), 0
+    for _, text, train in rows:
         if train:
-            by[k].update(words_of(text))
-            ends[k] += 1
-    total = sum(by, Counter())
-    n, types = sum(total.values()) + sum(ends), len(total) + (sum(ends) > 0)
-    v = Vocabulary(load_pieces(PIECES))
-    uses = np.full(len(v.pieces), 0.01)
-    for w in total:
-        uses += marginal_of(w.encode(), v, True)[1]
-    first, later = uses[v.initial].sum(), uses[~v.initial].sum()
-    first = max(1.0, first)
-    v = Vocabulary(v.pieces, np.log(np.where(v.initial, uses / first, uses / (later + first))))
-    stop = math.log(first / (later + first))
-    unseen = min(0.5, max(sum(c == 1 for c in total.values()), 1) / max(n, 2))
-    out = []
-    for _, text, _, _ in rows:
+            total.update(words_of(text))
+            ends += 1
+    n, types = sum(total.values()) + ends, len(total) + (ends > 0)
+    v, ways = Vocabulary(load_pieces(PIECES)), {}
+    for _ in range(rounds):
+        uses = np.full(len(v.pieces), 0.01)
+        for w, c in total.items():
+            uses += c * enumerated(w.encode(), v, ways)[1]
+        first, later = uses[v.initial].sum(), uses[~v.initial].sum()
+        v = Vocabulary(v.pieces, np.log(np.where(v.initial, uses / first, uses / (later + first))))
+        v.stop = math.log(first / (later + first))
+    seen, out = {}, []
+    for _, text, _ in rows:
         w = words_of(text)
-        base = sum(math.log10((c + 0.1) / (n + 0.1 * (types + 1))) for c in [*(total[x] for x in w), sum(ends)])
-        parts = []
-        for k in range(CLASSES):
-            size = sum(by[k].values()) + ends[k]
-            if ends[k]:
-                s = math.log10(ends[k] / sum(ends)) + math.log10(CLASS_SHARE * ends[k] / size + (1 - CLASS_SHARE) * sum(ends) / n)
-                for x in w:
-                    known = CLASS_SHARE * by[k][x] / size + (1 - CLASS_SHARE) * total[x] / n
-                    s += math.log10((1 - unseen) * known + unseen * math.exp(marginal_of(x.encode(), v)[0] + stop))
-                parts.append(s)
-        top = max(parts)
-        out.append((len(w) + 1, sum(total[x] > 0 for x in w) + 1, n, base, top + math.log10(sum(10 ** (p - top) for p in parts))))
+        base = sum(math.log10((c + 0.1) / (n + 0.1 * (types + 1))) for c in [*(total[x] for x in w), ends])
+        for x in w:
+            if x not in seen:
+                seen[x] = (enumerated(x.encode(), v, ways)[0] + v.stop) / math.log(10)
+        score = math.log10((ends + 1) / (n + 2)) + sum(math.log10((n - ends + 1) / (n + 2)) + seen[x] for x in w)
+        out.append((len(w) + 1, sum(total[x] > 0 for x in w) + (ends > 0), n, base, score))
     return out
 
 
-@pytest.mark.parametrize("known_words", [65_536, 3])
-def test_scores_are_the_definition(spark, odd_docs, monkeypatch, known_words):
-    monkeypatch.setattr(lm_scoring, "KNOWN_WORDS", known_words)
+@pytest.mark.parametrize("known_words,piece,held", [(65_536, 1 << 20, 24 << 20), (3, 64, 1024)])
+def test_scores_are_all_segmentations(spark, odd_docs, monkeypatch, known_words, piece, held):
+    for name, value in (("KNOWN_WORDS", known_words), ("PIECE", piece), ("HELD", held)):
+        monkeypatch.setattr(lm_scoring, name, value)
     extra = spark.read.parquet(f"{SF001}/documents.parquet").limit(25)
     docs = odd_docs.unionByName(extra.withColumns({"kept": F.lit(""), "word": F.lit("")}))
-    kind = F.pmod(F.xxhash64(F.coalesce("lang", F.lit(""))), F.lit(CLASSES))
-    rows = docs.select("doc_id", "text", kind, F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))).collect()
-    want = brute([tuple(r) for r in rows])
-    got = lm_scores(docs, PIECES, train=F.col("doc_id") % 3 != 0).collect()
+    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))).collect()
+    want = brute([tuple(r) for r in rows], 2)
+    got = lm_scores(docs, PIECES, train=F.col("doc_id") % 3 != 0, rounds=2).collect()
     key = lambda r: (-1 if r[0] is None else r[0], r[1], round(r[5], 4))
     got = sorted(([r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score] for r in got), key=key)
     want = sorted(([r[0], *w] for r, w in zip(rows, want)), key=key)
@@ -77,6 +98,19 @@ def test_scores_are_the_definition(spark, odd_docs, monkeypatch, known_words):
         assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9) and a[5] == pytest.approx(b[5], rel=1e-9)
 
 
+def test_a_long_text_comes_in_pieces_of_whole_words():
+    import pyarrow as pa
+
+    texts = ["a b", None, " ".join(f"wort{i}" for i in range(500)), "x" * 900 + " end", "", "last"]
+    got = [[] for _ in texts]
+    for lo, hi, data, offsets, last in tb.word_pieces(pa.array(texts), 100):
+        assert last or hi == lo + 1
+        w = tb.words(data, offsets)
+        for i, row in enumerate(w.row.tolist()):
+            got[lo + row].append(w.text(i).decode())
+    assert got == [words_of(t) for t in texts]
+
+
 def test_no_rows_and_no_training(spark, odd_docs, no_docs):
     assert lm_scores(no_docs, PIECES, train=F.lit(True)).count() == 0
     rows = lm_scores(odd_docs, PIECES, train=F.lit(None).cast("boolean")).collect()
@@ -99,7 +133,7 @@ def test_the_query(spark):
 
 
 def test_fitted_scores_are_better(spark):
-    """On texts that were held out, scores fitted to the corpus beat those from the vocabulary's order."""
+    """On texts that were held out, settled scores beat those after one round, and these the vocabulary's order."""
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
-    held = [sum(r.score for r in lm_scores(docs, PIECES, train=F.col("doc_id") % 5 != 0, rounds=n).where("doc_id % 5 = 0").collect()) for n in (0, 1)]
-    assert held[1] > held[0]
+    held = [sum(r.score for r in lm_scores(docs, PIECES, train=F.col("doc_id") % 5 != 0, rounds=n).where("doc_id % 5 = 0").collect()) for n in (0, 1, None)]
+    assert held[2] > held[1] > held[0]

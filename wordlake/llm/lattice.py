@@ -173,12 +173,12 @@ class Trie:
             out[i] = marginal_of(span, vocabulary)[0]
         return out + vocabulary.stop, total
 
-    def expected(self, vocabulary: Vocabulary, weight: np.ndarray) -> np.ndarray:
-        """Expected number of uses of each piece when word i occurs ``weight[i]`` times.
+    def expected(self, vocabulary: Vocabulary, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(expected number of uses of each piece when word i occurs ``weight[i]`` times, ``forward`` per word).
 
         The derivative of the summed log probabilities by each score, carried from the leaves to the root.
         """
-        _, total = self.forward(vocabulary)
+        each, total = self.forward(vocabulary)
         share = np.bincount(self._leaf(), weights=weight[self.kept], minlength=self.n_nodes)
         uses, base = np.zeros(len(vocabulary.pieces)), self.n_nodes
         for depth in range(len(self.levels) - 1, -1, -1):
@@ -194,7 +194,7 @@ class Trie:
         for i, span in zip(self.long, self.spans, strict=True):
             if weight[i]:
                 uses += weight[i] * marginal_of(span, vocabulary, True)[1]
-        return uses
+        return uses, each
 
 
 def _steps(span: bytes, vocabulary: Vocabulary, end: int):

@@ -1,19 +1,20 @@
 """Operator 1, LM scoring: subword lattice likelihood.
 
-A word's probability is a mixture of its share of the training tokens and of the summed probability of all its
-segmentations into pieces of an existing unigram vocabulary (log-space forward recursion on a trie, see ``lattice``).
-The vocabulary's own scores start the lattice; one round of expected piece counts over the training word types fits
-them to the corpus. A document's probability is the product over its words and its end, summed over ``CLASSES``
-document classes (training documents are dealt to classes by a label such as the language; scoring reads the text
-alone and weighs all classes).
+A word's probability is the summed probability of all its segmentations into pieces of an existing unigram vocabulary
+(log-space forward recursion on a trie, see ``lattice``); a document's is the product over its words and its end. The
+vocabulary's scores start from its own order and are fitted by rounds of expected piece counts over the training
+tokens, until a round raises their likelihood by no more than ``SETTLE`` of itself. Nothing else enters a score.
 
 Three passes, all by word hash blocks whose number follows the text's size:
 
 1. tasks count their distinct words, blocks add the counts up: the word table (written once);
-2. blocks of the word table give expected piece counts, added up by piece;
+2. blocks of the word table give expected piece counts, added up by piece, once a round;
 3. tasks send (row, word hash) to the words' blocks, which return partial sums by row. The most frequent words, at most
    ``KNOWN_WORDS`` (a power-of-two count from which on there are no more), are broadcast with their probabilities
    instead, so no block gets a word that a fixed share of all rows hold.
+
+Memory: a text is walked in pieces of ``PIECE`` bytes cut between words, so a very long text costs no more than a short
+one (a single longer word is taken whole). A task sends its words on when it holds ``HELD`` bytes of them.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from wordlake.llm import textblocks as tb
 from wordlake.llm.lattice import Trie, Vocabulary, load_pieces
 from wordlake.session import cut_lineage
 
-CLASSES = 8
 KNOWN_WORDS = 65_536
 BLOCK_TEXT = 48 << 20
-#: Share of the class's own counts in a word's known part; the rest is the whole corpus's share.
-CLASS_SHARE = 0.9
+PIECE = 1 << 20
+HELD = 24 << 20
+SETTLE = 0.002
 _COUNTS = np.dtype("<i8")
 
 
@@ -47,254 +48,242 @@ def _blob(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
 
 
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin[i] ... begin[i] + size[i] - 1, one run after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class _Counts:
-    """Distinct words by hash with counts by class."""
+    """Distinct words by hash with their counts."""
 
     def __init__(self):
         self.parts: list[tuple] = []
 
     def add(self, data, start, end, hashes, counts) -> None:
         size = end - start
-        run = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        self.parts.append((hashes, counts, size, data[run]))
+        self.parts.append((hashes, counts, size, data[_runs(start, size)]))
         if len(self.parts) >= 8:
             self.parts = [self.merged()]
 
+    def held(self) -> int:
+        """Bytes of all arrays."""
+        return sum(x.nbytes for part in self.parts for x in part)
+
     def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, counts, size, bytes), in order of the hash."""
+        """(hash, count, size, bytes), in order of the hash."""
         if not self.parts:
-            return np.zeros(0, tb.U64), np.zeros((0, CLASSES), _COUNTS), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+            return np.zeros(0, tb.U64), np.zeros(0, _COUNTS), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         hashes, counts, size, data = (np.concatenate(x) for x in zip(*self.parts))
         value, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        total = np.zeros((len(value), CLASSES), _COUNTS)
-        for k in range(CLASSES):
-            total[:, k] = np.bincount(inverse, weights=counts[:, k], minlength=len(value))
-        begin = (np.cumsum(size) - size)[first]
+        total = np.bincount(inverse, weights=counts, minlength=len(value)).astype(_COUNTS)
         kept = size[first]
-        run = np.repeat(begin - (np.cumsum(kept) - kept), kept) + np.arange(int(kept.sum()))
-        return value, total, kept, data[run]
+        return value, total, kept, data[_runs((np.cumsum(size) - size)[first], kept)]
 
 
-WORDS = "block int, hash binary, counts binary, size binary, bytes binary, n_types long, n_words long, n_once long, n_many array<long>, n_by_class array<long>"
+PART = "block int, hash binary, counts binary, size binary, bytes binary"
+WORDS = PART + ", n_types long, n_words long, n_many array<long>"
 
 
-def _rows(blocks, merged) -> pa.RecordBatch:
+def _rows(blocks: int, merged) -> pa.RecordBatch:
     """One row for each block with words."""
     value, total, size, data = merged
-    of = (value % tb.U64(blocks)).astype(np.int64) if blocks else np.zeros(len(value), np.int64)
+    of = (value % tb.U64(blocks)).astype(np.int64)
     begin = np.cumsum(size) - size
-    out: dict[str, list] = {f.split()[0]: [] for f in WORDS.split(", ")[:5]}
-    for b in np.unique(of).tolist():
-        at = np.flatnonzero(of == b)
-        run = np.repeat(begin[at] - (np.cumsum(size[at]) - size[at]), size[at]) + np.arange(int(size[at].sum()))
-        for name, x in zip(out, (b, _blob(value[at]), _blob(total[at]), _blob(size[at].astype("<i4")), data[run].tobytes())):
-            out[name].append(x)
-    kinds = [pa.int32(), *[pa.binary()] * 4]
-    return [pa.array(x, t) for x, t in zip(out.values(), kinds)]
+    order = np.argsort(of, kind="stable")
+    present, first = np.unique(of[order], return_index=True)
+    out: list[list] = [[] for _ in range(5)]
+    for b, at in zip(present.tolist(), np.split(order, first[1:])):
+        for column, x in zip(out, (b, _blob(value[at]), _blob(total[at]), _blob(size[at].astype("<i4")), data[_runs(begin[at], size[at])].tobytes())):
+            column.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [pa.int32(), *[pa.binary()] * 4])], names=[f.split()[0] for f in PART.split(", ")])
 
 
-def _unpacked(table: pa.Table) -> _Counts:
-    found = _Counts()
-    for h, c, s, b in zip(*(table.column(k).to_pylist() for k in ("hash", "counts", "size", "bytes"))):
-        found.parts.append((np.frombuffer(h, tb.U64), np.frombuffer(c, _COUNTS).reshape(-1, CLASSES), np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(b, np.uint8)))
-    return found
+def _words_of(size: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end) of the words of one row of the word table."""
+    n = np.frombuffer(size, "<i4").astype(np.int64)
+    end = np.cumsum(n)
+    return np.frombuffer(data, np.uint8), end - n, end
 
 
 def word_table(docs: DataFrame, blocks: int) -> DataFrame:
-    """One row a block: the distinct words of ``docs`` (text, class, train) with their training counts by class."""
+    """One row a block: the distinct words of ``docs`` (text, train) with their training counts."""
 
     def count(batches):
         found = _Counts()
         for batch in batches:
-            kind, train = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in tb.blocks(batch.column(0)):
+            train = batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi, data, offsets, _ in tb.word_pieces(batch.column(0), PIECE):
                 w = tb.words(data, offsets, lower=True)
                 value, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-                counts = np.zeros((len(value), CLASSES), _COUNTS)
-                use = train[lo:hi][w.row]
-                np.add.at(counts, (inverse[use], kind[lo:hi][w.row[use]]), 1)
+                counts = np.bincount(inverse, weights=train[lo:hi][w.row], minlength=len(value)).astype(_COUNTS)
                 found.add(w.data, w.start[first], w.end[first], value, counts)
+                if found.held() > HELD:
+                    found.parts = [found.merged()]
+                    if found.held() > HELD // 2:
+                        yield _rows(blocks, found.parts[0])
+                        found = _Counts()
         if found.parts:
-            yield pa.RecordBatch.from_arrays(_rows(blocks, found.merged()), names=["block", "hash", "counts", "size", "bytes"])
+            yield _rows(blocks, found.merged())
 
     def reduce(table: pa.Table) -> pa.Table:
-        merged = _unpacked(table).merged()
-        total = merged[1].sum(1)
-        block = table.column("block")[0].as_py()
-        cols = [pa.array([x], t) for x, t in zip(
-            (block, _blob(merged[0]), _blob(merged[1]), _blob(merged[2].astype("<i4")), merged[3].tobytes(), int((total > 0).sum()), int(total.sum()), int((total == 1).sum()),
-             [int((total >= 1 << j).sum()) for j in range(48)], merged[1].sum(0).tolist()),
-            (pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 2))]
-        return pa.Table.from_arrays(cols, names=[f.split()[0] for f in WORDS.split(", ")])
+        found = _Counts()
+        for h, c, s, b in zip(*(table.column(k).to_pylist() for k in ("hash", "counts", "size", "bytes"))):
+            found.parts.append((np.frombuffer(h, tb.U64), np.frombuffer(c, _COUNTS), np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(b, np.uint8)))
+        value, total, size, data = found.merged()
+        row = (table.column("block")[0].as_py(), _blob(value), _blob(total), _blob(size.astype("<i4")), data.tobytes(),
+               int((total > 0).sum()), int(total.sum()), [int((total >= 1 << j).sum()) for j in range(48)])
+        kinds = (pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 2, pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=[f.split()[0] for f in WORDS.split(", ")])
 
-    parts = docs.mapInArrow(count, ", ".join(WORDS.split(", ")[:5]))
-    return parts.groupBy("block").applyInArrow(reduce, WORDS)
+    return docs.mapInArrow(tb.trimmed(count), PART).groupBy("block").applyInArrow(tb.trimmed_group(reduce), WORDS)
 
 
-def fitted(words: DataFrame, vocabulary: Vocabulary, rounds: int) -> Vocabulary:
-    """The vocabulary with scores from expected piece counts over the training word types.
+def refitted(vocabulary: Vocabulary, uses: np.ndarray) -> Vocabulary:
+    """The vocabulary with scores from expected uses of its pieces.
 
     First pieces have one distribution; a later place holds a piece or the word's end. 0.01 is added to every count.
     """
-    for _ in range(rounds):
+    uses = uses + 0.01
+    words, later = uses[vocabulary.initial].sum(), uses[~vocabulary.initial].sum()
+    new = Vocabulary(vocabulary.pieces, np.log(np.where(vocabulary.initial, uses / words, uses / (later + words))))
+    new.stop = math.log(words / (later + words))
+    return new
+
+
+def fitted(words: DataFrame, vocabulary: Vocabulary, rounds: int | None = None) -> Vocabulary:
+    """The vocabulary with scores fitted to the training tokens: so many rounds, or (None) until they settle."""
+    before, done = None, 0
+    while rounds is None or done < rounds:
         def expect(batches, v=vocabulary):
             for batch in batches:
-                total = np.zeros(len(v.pieces))
+                total, log = np.zeros(len(v.pieces)), 0.0
                 for c, s, b in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                    size = np.frombuffer(s, "<i4").astype(np.int64)
-                    end = np.cumsum(size)
-                    seen = (np.frombuffer(c, _COUNTS).reshape(-1, CLASSES).sum(1) > 0).astype(float)
-                    if seen.any():
-                        total += Trie(np.frombuffer(b, np.uint8), (end - size)[seen > 0], end[seen > 0]).expected(v, seen[seen > 0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total).astype(np.int32)), pa.array(total[total > 0])], names=["piece", "uses"])
-
-        # as many rows as the vocabulary has pieces, whatever the corpus
-        found = words.select("counts", "size", "bytes").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
-        uses = np.full(len(vocabulary.pieces), 0.01)
+                    count = np.frombuffer(c, _COUNTS).astype(float)
+                    data, start, end = _words_of(s, b)
+                    if (seen := np.flatnonzero(count)).size:
+                        uses, each = Trie(data, start[seen], end[seen]).expected(v, count[seen])
+                        total += uses
+                        log += float(each @ count[seen])
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(total[used], log))], names=["piece", "uses"])
+
+        # as many rows as the vocabulary has pieces, whatever the corpus; row -1 is the log likelihood
+        found = words.select("counts", "size", "bytes").mapInArrow(tb.trimmed(expect), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        uses, log = np.zeros(len(vocabulary.pieces)), 0.0
         for r in found:
-            uses[r.piece] += r.uses
-        types = max(1.0, uses[vocabulary.initial].sum())
-        scores = np.where(vocabulary.initial, uses / types, uses / (uses[~vocabulary.initial].sum() + types))
-        vocabulary = Vocabulary(vocabulary.pieces, np.log(scores))
-        vocabulary.stop = math.log(types / (uses[~vocabulary.initial].sum() + types))
+            if r.piece < 0:
+                log = r.uses
+            else:
+                uses[r.piece] = r.uses
+        if before is not None and rounds is None and log - before <= SETTLE * abs(log):
+            break
+        before, vocabulary, done = log, refitted(vocabulary, uses), done + 1
     return vocabulary
 
 
 class Model:
-    """Probabilities of words from counts and lattice, the same on all tasks."""
-
-    def __init__(self, vocabulary: Vocabulary, words_by_class, docs_by_class, n_types: int, n_once: int):
-        self.vocabulary, self.ends = vocabulary, np.asarray(docs_by_class, float)
-        self.by_class = np.asarray(words_by_class, float) + self.ends
-        self.tokens = float(self.by_class.sum())
-        self.types = n_types + (self.ends.sum() > 0)
-        self.unseen = min(0.5, max(n_once, 1) / max(self.tokens, 2))
-        used = self.by_class > 0
-        self.classes = np.flatnonzero(used) if used.any() else np.array([0])
-        self.prior = self.ends[self.classes] / self.ends.sum() if self.ends.sum() else np.ones(1)
+    """Probabilities of tokens, the same on all tasks."""
+
+    def __init__(self, vocabulary: Vocabulary, n_words: int, n_docs: int, n_types: int):
+        self.vocabulary, self.ends = vocabulary, n_docs
+        self.tokens = float(n_words + n_docs)
+        self.types = n_types + (n_docs > 0)
+        #: log10 probability that a token is an end, or a word; 1 is added to both counts.
+        self.end, self.word = math.log10((n_docs + 1) / (self.tokens + 2)), math.log10((n_words + 1) / (self.tokens + 2))
 
     def base(self, total: np.ndarray) -> np.ndarray:
         return np.log10((total + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
 
-    def logs(self, counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
-        """log10 probability of words by class, from counts by class and the lattice's natural log."""
-        own = counts / np.maximum(self.by_class, 1)
-        known = CLASS_SHARE * own + (1 - CLASS_SHARE) * (counts.sum(1) / max(self.tokens, 1))[:, None]
-        low = np.log10(self.unseen) + lattice / math.log(10)
-        high = np.log10(np.maximum(known * (1 - self.unseen), 1e-300))
-        top = np.maximum(high, low[:, None])
-        return top + np.log10(10 ** (high - top) + 10 ** (low[:, None] - top))
-
-    def block(self, hashes: bytes, counts: bytes, size: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, total count, logs) of the words of one row of the word table."""
-        n = np.frombuffer(size, "<i4").astype(np.int64)
-        end = np.cumsum(n)
-        c = np.frombuffer(counts, _COUNTS).reshape(-1, CLASSES)
-        lattice, _ = Trie(np.frombuffer(data, np.uint8), end - n, end).forward(self.vocabulary)
-        return np.frombuffer(hashes, tb.U64), c.sum(1), self.logs(c, lattice)
+    def block(self, row: dict, least: int, below: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, count, log10 probability) of the words of a row of the word table with counts below ``least`` or the others."""
+        total = np.frombuffer(row["counts"], _COUNTS)
+        pick = np.flatnonzero((total < least) == below)
+        data, start, end = _words_of(row["size"], row["bytes"])
+        lattice, _ = Trie(data, start[pick], end[pick]).forward(self.vocabulary)
+        return np.frombuffer(row["hash"], tb.U64)[pick], total[pick], lattice / math.log(10) + self.word
 
 
-_SUMS = [f"s{k}" for k in range(CLASSES)]
-PARTS = "key long, doc_id long, n_tokens long, n_known long, base double, " + ", ".join(f"{s} double" for s in _SUMS)
+SUMS = "key long, doc_id long, n_tokens long, n_known long, base double, score double"
+_SUMS = pa.schema([(f.split()[0], {"long": pa.int64(), "double": pa.float64()}[f.split()[1]]) for f in SUMS.split(", ")])
 
 
-def _parts(key, doc_id, n_tokens, n_known, base, sums) -> list[pa.Array]:
-    ids = doc_id if isinstance(doc_id, (pa.Array, pa.ChunkedArray)) else pa.nulls(len(key), pa.int64())
-    return [pa.array(key, pa.int64()), ids, pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base.astype(float)),
-            *(pa.array(np.ascontiguousarray(sums[:, k])) for k in range(CLASSES))]
+def _sums(key, doc_id, row, total, n_tokens, base, score) -> pa.RecordBatch:
+    """Sums by row over the tokens at ``row``; ``n_tokens`` is given by row."""
+    n = len(key)
+    add = lambda x: pa.array(np.bincount(row, weights=x, minlength=n).astype(float))
+    known = np.bincount(row, weights=total > 0, minlength=n).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), doc_id, pa.array(n_tokens.astype(np.int64)), pa.array(known), add(base), add(score)], schema=_SUMS)
 
 
-def lm_scores(docs: DataFrame, model_path: str, train: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", rounds: int = 1) -> DataFrame:
+def lm_scores(docs: DataFrame, model_path: str, train: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
 
-    ``train`` says which rows are learnt from (null: not). A null or empty text is its end alone. Rows are scored one
-    by one, repeated ids and null ids included; a null class label is a class like others; other columns are not
-    read. With no training rows every word is unknown and the classes are one.
+    ``train`` says which rows are learnt from (null: not); ``rounds`` is the number of fitting rounds, None until the
+    scores settle. A null or empty text is its end alone. Rows are scored one by one, repeated ids and null ids
+    included; other columns are not read. With no training rows all pieces are equally likely and no word is known.
     """
-    label = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col else F.lit("")
-    kind = F.pmod(F.xxhash64(label), F.lit(CLASSES)).cast("int")
     train = F.coalesce(train, F.lit(False))
     blocks = block_count(docs, text_col, BLOCK_TEXT)
-    words = cut_lineage(word_table(docs.select(F.col(text_col), kind.alias("kind"), train.alias("train")), blocks))
-    ends = [0] * CLASSES
-    for r in docs.where(train).groupBy(kind.alias("kind")).count().collect():  # CLASSES rows at most
-        ends[r.kind] = r["count"]
-    per = words.agg(F.sum("n_types").alias("types"), F.sum("n_once").alias("once"),
-                    *(F.sum(F.element_at("n_by_class", k + 1)).alias(f"c{k}") for k in range(CLASSES)), *(F.sum(F.element_at("n_many", j + 1)).alias(f"m{j}") for j in range(48))).first()
-    model = Model(fitted(words, Vocabulary(load_pieces(model_path)), rounds), [per[f"c{k}"] or 0 for k in range(CLASSES)], ends, per["types"] or 0, per["once"] or 0)
+    words = cut_lineage(word_table(docs.select(F.col(text_col), train.alias("train")), blocks))
+    per = words.agg(F.sum("n_types").alias("types"), F.sum("n_words").alias("words"), *(F.sum(F.element_at("n_many", j + 1)).alias(f"m{j}") for j in range(48))).first()
+    model = Model(fitted(words, Vocabulary(load_pieces(model_path)), rounds), per["words"] or 0, docs.where(train).count(), per["types"] or 0)
     least = next(1 << j for j in range(48) if (per[f"m{j}"] or 0) <= KNOWN_WORDS)
 
     def frequent(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                total = np.frombuffer(row["counts"], _COUNTS).reshape(-1, CLASSES).sum(1)
-                if (pick := np.flatnonzero(total >= least)).size:
-                    value, total, logs = model.block(row["hash"], row["counts"], row["size"], row["bytes"])
-                    yield pa.RecordBatch.from_arrays([pa.array([_blob(x[pick]) for x in (value,)], pa.binary()), pa.array([_blob(total[pick])], pa.binary()), pa.array([_blob(logs[pick])], pa.binary())],
-                                                     names=["hash", "total", "logs"])
-
-    top = words.select("hash", "counts", "size", "bytes").mapInArrow(frequent, "hash binary, total binary, logs binary").collect()  # KNOWN_WORDS words at most
-    value = np.concatenate([np.zeros(0, tb.U64), *(np.frombuffer(r.hash, tb.U64) for r in top)])
-    order = np.argsort(value)
-    known = (value[order], np.concatenate([np.zeros(0, _COUNTS), *(np.frombuffer(r.total, _COUNTS) for r in top)])[order],
-             np.concatenate([np.zeros((0, CLASSES)), *(np.frombuffer(r.logs).reshape(-1, CLASSES) for r in top)])[order])
-    known = docs.sparkSession.sparkContext.broadcast(known)
+                yield pa.RecordBatch.from_arrays([pa.array([_blob(x)], pa.binary()) for x in model.block(row, least, False)], names=["hash", "total", "logs"])
+
+    words = words.select("block", "hash", "counts", "size", "bytes")
+    top = words.mapInArrow(tb.trimmed(frequent), "hash binary, total binary, logs binary").collect()  # KNOWN_WORDS words at most
+    known = [np.concatenate([np.zeros(0, t), *(np.frombuffer(r[k], t) for r in top)]) for k, t in enumerate((tb.U64, _COUNTS, float))]
+    order = np.argsort(known[0])
+    known = docs.sparkSession.sparkContext.broadcast([x[order] for x in known])
 
     def send(batches):
         value, total, logs = known.value
         turn = 0
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for lo, hi, data, offsets in tb.blocks(batch.column(2)):
+            for lo, hi, data, offsets, last in tb.word_pieces(batch.column(2), PIECE):
                 rows, w = hi - lo, tb.words(data, offsets, lower=True)
                 at = np.minimum(np.searchsorted(value, w.hash), max(0, len(value) - 1))
                 held = value[at] == w.hash if len(value) else np.zeros(len(w.hash), bool)
                 row, at = w.row[held], at[held]
-                sums = np.stack([np.bincount(row, weights=logs[at, k], minlength=rows) for k in range(CLASSES)], 1).astype(float)
-                ends_log = np.log10(np.maximum(CLASS_SHARE * model.ends / np.maximum(model.by_class, 1) + (1 - CLASS_SHARE) * model.ends.sum() / max(model.tokens, 1), 1e-300))
-                own = _parts(keys[lo:hi], batch.column(1).slice(lo, rows), np.bincount(w.row, minlength=rows) + 1, np.bincount(row, minlength=rows) + (model.ends.sum() > 0),
-                             np.bincount(row, weights=model.base(total[at]), minlength=rows) + model.base(np.array([model.ends.sum()]))[0], sums + (ends_log if model.ends.sum() else 0))
+                ends = rows if last else 0  # the end of a text in pieces stands in its last one
+                part = _sums(keys[lo:hi], batch.column(1).slice(lo, rows), np.append(row, np.arange(ends)), np.append(total[at], np.full(ends, model.ends)),
+                             np.bincount(w.row, minlength=rows) + last, model.base(np.append(total[at], np.full(ends, model.ends))), np.append(logs[at], np.full(ends, model.end)))
                 sink = pa.BufferOutputStream()
-                part = pa.RecordBatch.from_arrays(own, names=[f.split()[0] for f in PARTS.split(", ")])
-                with pa.ipc.new_stream(sink, part.schema) as writer:
+                with pa.ipc.new_stream(sink, _SUMS) as writer:
                     writer.write_batch(part)
                 rest, hashes = w.row[~held], w.hash[~held]
                 of = (hashes % tb.U64(blocks)).astype(np.int64)
                 order = np.argsort(of, kind="stable")
-                cuts = np.searchsorted(of[order], np.arange(blocks + 1))
-                filled = [b for b in range(blocks) if cuts[b + 1] > cuts[b] or b == turn % blocks]
-                picked = [order[cuts[b] : cuts[b + 1]] for b in filled]
+                filled = np.union1d(of, [turn % blocks])
+                picked = [order[a:b] for a, b in zip(np.searchsorted(of[order], filled, "left"), np.searchsorted(of[order], filled, "right"))]
+                named = [np.unique(rest[p], return_inverse=True) for p in picked]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(filled, pa.int32()), pa.array([_blob(keys[lo:hi][np.unique(rest[p])]) for p in picked], pa.binary()),
-                     pa.array([_blob(np.unique(rest[p], return_inverse=True)[1].astype("<i4")) for p in picked], pa.binary()), pa.array([_blob(hashes[p]) for p in picked], pa.binary()),
-                     pa.array([sink.getvalue().to_pybytes() if b == turn % blocks else None for b in filled], pa.binary())],
+                    [pa.array(filled, pa.int32()), pa.array([_blob(keys[lo:hi][r]) for r, _ in named], pa.binary()), pa.array([_blob(i.astype("<i4")) for _, i in named], pa.binary()),
+                     pa.array([_blob(hashes[p]) for p in picked], pa.binary()), pa.array([sink.getvalue().to_pybytes() if b == turn % blocks else None for b in filled], pa.binary())],
                     names=["block", "keys", "at", "hash", "own"])
                 turn += 1
 
     def add(sent: pa.Table, held: pa.Table) -> pa.Table:
-        value, total, logs = np.zeros(0, tb.U64), np.zeros(0, _COUNTS), np.zeros((0, CLASSES))
-        for row in held.to_pylist():
-            value, total, logs = model.block(row["hash"], row["counts"], row["size"], row["bytes"])
         out = []
-        for row in sent.to_pylist():
-            if row["own"]:
-                out.append(pa.ipc.open_stream(row["own"]).read_all().combine_chunks())
-            keys, hashes, of = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["hash"], tb.U64), np.frombuffer(row["at"], "<i4")
-            if len(keys):
-                at = np.searchsorted(value, hashes)
-                zero = np.zeros(len(keys), np.int64)
-                out.append(pa.Table.from_arrays(_parts(
-                    keys, None, zero, np.bincount(of, weights=total[at] > 0, minlength=len(keys)), np.bincount(of, weights=model.base(total[at]), minlength=len(keys)),
-                    np.stack([np.bincount(of, weights=logs[at, k], minlength=len(keys)) for k in range(CLASSES)], 1)), names=[f.split()[0] for f in PARTS.split(", ")]))
-        schema = pa.schema([(f.split()[0], {"long": pa.int64(), "double": pa.float64()}[f.split()[1]]) for f in PARTS.split(", ")])
-        return pa.concat_tables([x.cast(schema) for x in out]) if out else schema.empty_table()
+        value, total, logs = next((model.block(row, least, True) for row in held.to_pylist()), (np.zeros(0, tb.U64), np.zeros(0, _COUNTS), np.zeros(0)))
+        for batch in sent.to_batches():
+            for row in batch.to_pylist():
+                if row["own"]:
+                    out += pa.ipc.open_stream(row["own"]).read_all().to_batches()
+                keys, hashes, of = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["hash"], tb.U64), np.frombuffer(row["at"], "<i4")
+                if len(keys):
+                    at = np.searchsorted(value, hashes)
+                    out.append(_sums(keys, pa.nulls(len(keys), pa.int64()), of, total[at], np.zeros(len(keys)), model.base(total[at]), logs[at]))
+        return pa.Table.from_batches(out, schema=_SUMS)
 
     sent = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)) \
-        .mapInArrow(send, "block int, keys binary, at binary, hash binary, own binary")
-    parts = sent.groupBy("block").cogroup(words.select("block", "hash", "counts", "size", "bytes").groupBy("block")).applyInArrow(add, PARTS)
+        .mapInArrow(tb.trimmed(send), "block int, keys binary, at binary, hash binary, own binary")
+    parts = sent.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(tb.trimmed_cogroup(add), SUMS)
     sums = parts.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-                                    F.sum("base").alias("base_score"), *(F.sum(s).alias(s) for s in _SUMS))
-    used = [(f"s{k}", float(math.log10(p))) for k, p in zip(model.classes.tolist(), model.prior.tolist()) if p > 0] or [("s0", 0.0)]
-    sums = sums.withColumn("top", F.greatest(*(F.col(s) + p for s, p in used)) if len(used) > 1 else F.col(used[0][0]) + used[0][1])
-    score = F.col("top") + F.log10(sum(F.pow(F.lit(10.0), F.col(s) + p - F.col("top")) for s, p in used))
-    return sums.select("doc_id", "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), "base_score", score.alias("score"))
+                                    F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    return sums.select("doc_id", "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -87,6 +87,22 @@ def blocks(column, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
+def word_pieces(column, max_bytes: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """As ``blocks``, but a text longer than ``max_bytes`` comes in pieces cut before a separator; and whether its end is reached."""
+    for lo, hi, data, offsets in blocks(column, max_bytes):
+        at = 0
+        while len(data) - at > max_bytes:
+            end = at + max_bytes
+            while end < len(data) and not _SEPARATOR[data[end : end + max_bytes]].any():
+                end += max_bytes
+            if end >= len(data):
+                break
+            end += int(_SEPARATOR[data[end : end + max_bytes]].argmax())
+            yield lo, hi, data[at:end], np.array([0, end - at]), False
+            at = end
+        yield lo, hi, data[at:], offsets if not at else np.array([0, len(data) - at]), True
+
+
 def _give_back() -> None:
     pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
@@ -122,6 +138,17 @@ def trimmed_group(run):
     return wrapped
 
 
+def trimmed_cogroup(run):
+    """The same for an applyInArrow function of two tables."""
+    def wrapped(one: pa.Table, two: pa.Table) -> pa.Table:
+        out = run(one, two)
+        del one, two
+        _give_back()
+        return out
+
+    return wrapped
+
+
 @contextmanager
 def small_batches(spark, rows: int = 2000):
     """Arrow batches of at most ``rows`` rows for jobs that run inside, as rows that hold whole sets are wide."""
