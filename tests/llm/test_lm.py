@@ -81,9 +81,9 @@ def brute(rows, rounds):
     return out
 
 
-@pytest.mark.parametrize("known_words,piece,held", [(65_536, 1 << 20, 24 << 20), (3, 64, 1024)])
-def test_scores_are_all_segmentations(spark, odd_docs, monkeypatch, known_words, piece, held):
-    for name, value in (("KNOWN_WORDS", known_words), ("PIECE", piece), ("HELD", held)):
+@pytest.mark.parametrize("known_words,piece,held,batch", [(65_536, 1 << 20, 24 << 20, 8 << 20), (3, 64, 1024, 2000)])
+def test_scores_are_all_segmentations(spark, odd_docs, monkeypatch, known_words, piece, held, batch):
+    for name, value in (("KNOWN_WORDS", known_words), ("PIECE", piece), ("HELD", held), ("BATCH", batch)):
         monkeypatch.setattr(lm_scoring, name, value)
     extra = spark.read.parquet(f"{SF001}/documents.parquet").limit(25)
     docs = odd_docs.unionByName(extra.withColumns({"kept": F.lit(""), "word": F.lit("")}))

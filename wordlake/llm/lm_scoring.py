@@ -9,7 +9,8 @@ Three passes, all by word hash blocks whose number follows the text's size:
 
 1. tasks count their distinct words, blocks add the counts up: the word table (written once);
 2. blocks of the word table give expected piece counts, added up by piece, once a round;
-3. tasks send (row, word hash) to the words' blocks, which return partial sums by row. The most frequent words, at most
+3. tasks send batches of (row, word hash) to the words' blocks, which return sums by row, packed as one row for each
+   batch; a batch's rows meet its sums by the batch's number. The most frequent words, at most
    ``KNOWN_WORDS`` (a power-of-two count from which on there are no more), are broadcast with their probabilities
    instead, so no block gets a word that a fixed share of all rows hold.
 
@@ -34,6 +35,8 @@ KNOWN_WORDS = 65_536
 BLOCK_TEXT = 48 << 20
 PIECE = 1 << 20
 HELD = 24 << 20
+#: Bytes of hashes and sums that a task sends on together.
+BATCH = 8 << 20
 SETTLE = 0.002
 _COUNTS = np.dtype("<i8")
 
@@ -204,6 +207,8 @@ class Model:
 
 
 SUMS = "key long, doc_id long, n_tokens long, n_known long, base double, score double"
+SENT = "block int, first long, turn int, at binary, hash binary, own binary"
+FOUND = "first long, turn int, rows binary, known binary, base binary, score binary, own binary"
 _SUMS = pa.schema([(f.split()[0], {"long": pa.int64(), "double": pa.float64()}[f.split()[1]]) for f in SUMS.split(", ")])
 
 
@@ -242,48 +247,67 @@ def lm_scores(docs: DataFrame, model_path: str, train: Column, id_col: str = "do
 
     def send(batches):
         value, total, logs = known.value
-        turn = 0
+        own, rows, hashes, first, turn = [], [], [], 0, 0
+
+        def flush():
+            """One row for each block with words to look up, and the rest of the sums in one of them."""
+            sink, row, value = pa.BufferOutputStream(), np.concatenate(rows), np.concatenate(hashes)
+            with pa.ipc.new_stream(sink, _SUMS) as writer:
+                for part in own:
+                    writer.write_batch(part)
+            of = (value % tb.U64(blocks)).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            filled = np.union1d(of, [turn % blocks])
+            picked = [order[a:b] for a, b in zip(np.searchsorted(of[order], filled, "left"), np.searchsorted(of[order], filled, "right"))]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(filled, pa.int32()), pa.array([first] * len(filled), pa.int64()), pa.array([turn] * len(filled), pa.int32()), pa.array([_blob(row[p].astype("<i4")) for p in picked], pa.binary()),
+                 pa.array([_blob(value[p]) for p in picked], pa.binary()), pa.array([sink.getvalue().to_pybytes() if b == turn % blocks else None for b in filled], pa.binary())],
+                names=[f.split()[0] for f in SENT.split(", ")])
+
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for lo, hi, data, offsets, last in tb.word_pieces(batch.column(2), PIECE):
-                rows, w = hi - lo, tb.words(data, offsets, lower=True)
+                n, w = hi - lo, tb.words(data, offsets, lower=True)
                 at = np.minimum(np.searchsorted(value, w.hash), max(0, len(value) - 1))
                 held = value[at] == w.hash if len(value) else np.zeros(len(w.hash), bool)
                 row, at = w.row[held], at[held]
-                ends = rows if last else 0  # the end of a text in pieces stands in its last one
-                part = _sums(keys[lo:hi], batch.column(1).slice(lo, rows), np.append(row, np.arange(ends)), np.append(total[at], np.full(ends, model.ends)),
-                             np.bincount(w.row, minlength=rows) + last, model.base(np.append(total[at], np.full(ends, model.ends))), np.append(logs[at], np.full(ends, model.end)))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, _SUMS) as writer:
-                    writer.write_batch(part)
-                rest, hashes = w.row[~held], w.hash[~held]
-                of = (hashes % tb.U64(blocks)).astype(np.int64)
-                order = np.argsort(of, kind="stable")
-                filled = np.union1d(of, [turn % blocks])
-                picked = [order[a:b] for a, b in zip(np.searchsorted(of[order], filled, "left"), np.searchsorted(of[order], filled, "right"))]
-                named = [np.unique(rest[p], return_inverse=True) for p in picked]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(filled, pa.int32()), pa.array([_blob(keys[lo:hi][r]) for r, _ in named], pa.binary()), pa.array([_blob(i.astype("<i4")) for _, i in named], pa.binary()),
-                     pa.array([_blob(hashes[p]) for p in picked], pa.binary()), pa.array([sink.getvalue().to_pybytes() if b == turn % blocks else None for b in filled], pa.binary())],
-                    names=["block", "keys", "at", "hash", "own"])
-                turn += 1
+                ends = n if last else 0  # the end of a text in pieces stands in its last one
+                counts = np.append(total[at], np.full(ends, model.ends))
+                first = first if own else int(keys[lo])
+                rows.append(sum(map(len, own)) + w.row[~held])
+                hashes.append(w.hash[~held])
+                own.append(_sums(keys[lo:hi], batch.column(1).slice(lo, n), np.append(row, np.arange(ends)), counts, np.bincount(w.row, minlength=n) + last, model.base(counts),
+                                 np.append(logs[at], np.full(ends, model.end))))
+                if sum(x.nbytes for x in [*hashes, *own]) > BATCH:
+                    yield flush()
+                    own, rows, hashes, turn = [], [], [], turn + 1
+        if own:
+            yield flush()
 
     def add(sent: pa.Table, held: pa.Table) -> pa.Table:
-        out = []
         value, total, logs = next((model.block(row, least, True) for row in held.to_pylist()), (np.zeros(0, tb.U64), np.zeros(0, _COUNTS), np.zeros(0)))
-        for batch in sent.to_batches():
-            for row in batch.to_pylist():
-                if row["own"]:
-                    out += pa.ipc.open_stream(row["own"]).read_all().to_batches()
-                keys, hashes, of = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["hash"], tb.U64), np.frombuffer(row["at"], "<i4")
-                if len(keys):
-                    at = np.searchsorted(value, hashes)
-                    out.append(_sums(keys, pa.nulls(len(keys), pa.int64()), of, total[at], np.zeros(len(keys)), model.base(total[at]), logs[at]))
-        return pa.Table.from_batches(out, schema=_SUMS)
-
-    sent = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)) \
-        .mapInArrow(tb.trimmed(send), "block int, keys binary, at binary, hash binary, own binary")
-    parts = sent.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(tb.trimmed_cogroup(add), SUMS)
+        out = []
+        for i in range(sent.num_rows):
+            row = sent.slice(i, 1).to_pylist()[0]
+            at, of = np.searchsorted(value, np.frombuffer(row["hash"], tb.U64)), np.frombuffer(row["at"], "<i4")
+            rows, of = np.unique(of, return_inverse=True)
+            by_row = lambda x: _blob(np.bincount(of, weights=x, minlength=len(rows)))  # noqa: E731, B023
+            out.append((row["first"], row["turn"], _blob(rows), by_row(total[at] > 0), by_row(model.base(total[at])), by_row(logs[at]), row["own"]))
+        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[f.split()[0] for f in FOUND.split(", ")])
+
+    def whole(table: pa.Table) -> pa.Table:
+        own = pa.ipc.open_stream(next(x for x in table.column("own").to_pylist() if x)).read_all()
+        sums = [own.column(k).to_numpy().astype(float) for k in ("n_known", "base", "score")]
+        for row in table.to_pylist():
+            rows = np.frombuffer(row["rows"], "<i4")
+            for x, more in zip(sums, ("known", "base", "score")):
+                x[rows] += np.frombuffer(row[more])
+        return pa.Table.from_arrays([*own.columns[:3], pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=_SUMS)
+
+    sent = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(tb.trimmed(send), SENT)
+    found = sent.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(tb.trimmed_cogroup(add), FOUND)
+    parts = found.groupBy("first", "turn").applyInArrow(tb.trimmed_group(whole), SUMS)
     sums = parts.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-                                    F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+                                    F.sum("base").alias("base_score"), F.sum("score").alias("score"))  # a very long text has several parts
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
