@@ -172,9 +172,8 @@ def j05_lookup_default(spark, d):
     toks = vb.token_table(t.pages.select("page_id", F.regexp_extract_all("url", F.lit(_URL_NUM), F.lit(0))
                                          .alias("toks")), "toks", "page_id")
     vecs = t.embeddings.select(F.col("vec_id").cast("string").alias("word"), "embedding")
-    dflt = vecs.where(F.col("word") == "0").select(F.col("embedding").alias("__d"))
-    looked = rl.lookup_with_default(toks.crossJoin(F.broadcast(dflt)), vecs, "token", "word", "embedding",
-                                    F.col("__d"), "vec")
+    dflt = vecs.where(F.col("word") == "0").select("embedding").scalar()  # one vector, a literal of the plan
+    looked = rl.lookup_with_default(toks, vecs, "token", "word", "embedding", dflt, "vec")
     return looked.select("page_id", "pos", "token", "hit",
                          F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double")), R6)
                          .alias("vec_sum"))

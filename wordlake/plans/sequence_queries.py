@@ -245,6 +245,30 @@ def v14_encoder_features(spark, d):
                     F.size("f.segment_ids").alias("n_segment"))
 
 
+@query("v14_pair_features", f"""WITH v AS (SELECT token AS symbol, row_number() OVER (ORDER BY count(*) DESC, token DESC) + 3 AS idx
+  FROM (SELECT unnest(w) AS token FROM {_CONV_W}) GROUP BY token),
+t AS (SELECT conv_id, turn, generate_subscripts(w, 1) AS pos, unnest(w) AS token FROM {_CONV_W}),
+k AS (SELECT t.conv_id, t.turn, list(v.idx ORDER BY t.pos) AS ids FROM t JOIN v ON t.token = v.symbol GROUP BY t.conv_id, t.turn),
+c AS (SELECT conv_id, turn, coalesce(ids, CAST([] AS BIGINT[])) AS ids FROM conversations LEFT JOIN k USING (conv_id, turn)),
+p AS (SELECT a.conv_id, a.turn, a.ids AS x, b.ids AS y, CASE WHEN len(a.ids) + len(b.ids) <= 125 THEN len(a.ids)
+  ELSE least(len(a.ids), greatest(63, 125 - len(b.ids))) END AS m FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+f AS (SELECT conv_id, turn, m, list_concat([2], x[1:m], [3], y[1:125 - m], [3]) AS s FROM p)
+SELECT conv_id, turn, md5(array_to_string(list_concat(s, list_transform(range(128 - len(s)), lambda z: 0)), ',')) AS h,
+  len(s) AS mask_sum, len(s) - m - 2 AS second_sum FROM f""")
+def v14_pair_features(spark, d):
+    """V14 pair form: [CLS] turn [SEP] next turn [SEP], the pair truncated to 125 ids, zero-padded to 128, with mask
+    and segment ids (1 from the second turn on). Only the first 125 words of a turn can stay, so only these are encoded."""
+    c = _conv_words(Tables(spark, d))
+    vocab = vb.frequency_vocabulary(vb.token_table(c, "w", ["conv_id", "turn"])).withColumn("idx", F.col("idx") + 4)
+    enc = vb.encode_arrays(c.withColumn("w", F.slice("w", 1, 125)), "w", vocab, "ids", unk_idx=1, keys=["conv_id", "turn"])
+    a = enc.select("conv_id", "turn", F.col("ids").alias("x"))
+    b = enc.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ids").alias("y"))
+    f = a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", sq.encoder_pair_features("x", "y", 128, 2, 3, 0).alias("f"))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v).cast("long")
+    return f.select("conv_id", "turn", F.md5(ar.int_array_string("f.input_ids")).alias("h"),
+                    total("f.input_mask").alias("mask_sum"), total("f.segment_ids").alias("second_sum"))
+
+
 @query("v15_pair_truncation", f"""WITH c AS {_CONV_W},
 p AS (SELECT a.conv_id, a.turn, len(a.w) AS la, len(b.w) AS lb FROM c a JOIN c b
       ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)

@@ -141,3 +141,18 @@ def s12_word_vectors(spark, d):
     v = fs.read_word_vectors(spark, path, 64)
     return v.select("word", F.size("vec").alias("dim"),
                     F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("s"))
+
+
+@query("s12_all_numbers", """SELECT CAST(vec_id AS VARCHAR) AS word, CAST(len(embedding) - vec_id % 5 AS INTEGER) AS dim,
+  round(list_sum(CAST(embedding[1:len(embedding) - vec_id % 5] AS DOUBLE[])), 4) AS s FROM embeddings""")
+def s12_all_numbers(spark, d):
+    """Every number of a line after its word, lines of different length."""
+    path = fs.scratch_dir(spark, "s12_all")
+    e = Tables(spark, d).embeddings
+    numbers = F.expr("slice(embedding, 1, cast(size(embedding) - vec_id % 5 as int))")
+    e.select(F.concat_ws(" ", F.col("vec_id").cast("string"),
+                         F.array_join(F.transform(numbers, lambda x: x.cast("double").cast("string")), " "))) \
+        .write.text(path)
+    v = fs.read_word_vectors(spark, path)
+    return v.select("word", F.size("vec").alias("dim"),
+                    F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("s"))
