@@ -39,6 +39,47 @@ def test_gradient_is_the_slope():
             assert g[k].ravel()[i] == pytest.approx((out[0] - out[1]) / 2e-2, rel=0.03, abs=2e-3), k
 
 
+def plain_logit(net, words, window):
+    """Logit of one window of words, gate by gate; ``words`` maps a word to its input."""
+    p, hid = net.p, tx.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    states = {}
+    for d, order in (("f", range(len(window))), ("b", range(len(window) - 1, -1, -1))):
+        h = np.zeros(hid)
+        for t in order:
+            a = words[window[t]] @ p[f"in_{d}"] + p[f"b_{d}"]
+            z = sig(a[:hid] + h @ p[f"rec_{d}"][:, :hid])
+            r = sig(a[hid : 2 * hid] + h @ p[f"rec_{d}"][:, hid : 2 * hid])
+            n = np.tanh(a[2 * hid :] + r * (h @ p[f"rec_{d}"][:, 2 * hid :]))
+            h = (1 - z) * n + z * h
+            states[d, t] = h
+    both = [np.concatenate((states["f", t], states["b", t])) for t in range(len(window))]
+    weight = np.exp([np.tanh(b @ p["att"]) @ p["query"] for b in both])
+    pool = sum((w / weight.sum() * b for w, b in zip(weight, both)), np.zeros(2 * hid))
+    return float(pool @ p["out"] + p["bias"][0])
+
+
+def test_a_text_scores_as_its_windows_by_a_plain_recursion():
+    """Every overlapping window of whole texts, long, empty and of unknown words, in one block or in several."""
+    rnd = np.random.default_rng(3)
+    texts = ["ab abc x", "", None, " ".join(f"w{i % 37}" for i in range(150)), "Ab   AB\nab", " ".join(["same"] * 33)]
+    _, _, data, offsets = next(tb.blocks(pa.array(texts)))
+    w = tb.words(data, offsets, lower=True)
+    value, first = np.unique(w.hash, return_index=True)
+    net = tx.Network.new(value[::2], rnd.standard_normal(len(value[::2]) + 1))
+    net.p = {k: (v.astype(np.float64) + 0.1 * rnd.standard_normal(v.shape)) for k, v in net.p.items()}
+    inputs = net.inputs(net.index(w.hash[first]), *tx.trigrams(w, first))
+    words = {w.text(i): x for i, x in zip(first.tolist(), inputs)}
+    want = []
+    for text in texts:
+        own = [x.encode() for x in (text or "").lower().split()]
+        starts = range(0, max(1, len(own) - tx.LENGTH + tx.STEP), tx.STEP)
+        want.append(max(plain_logit(net, words, own[i : i + tx.LENGTH]) for i in starts))
+    assert net.logits(data, offsets) == pytest.approx(want, rel=1e-4, abs=1e-5)
+    alone = [net.logits(d, o)[0] for t in texts for _, _, d, o in tb.blocks(pa.array([t], pa.string()))]
+    assert alone == pytest.approx(want, rel=1e-4, abs=1e-5)
+
+
 def test_held_out_accuracy(spark):
     got = LLM_QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
