@@ -45,3 +45,15 @@ def test_penn_tokens(spark, text, tokens):
 def test_piece_labels(spark):
     df = spark.createDataFrame([(["abc", "d", "ef"], [0, 0, 0, 1, 0, 1]), ([], [])], "p array<string>, m array<int>")
     assert [r[0] for r in df.select(ar.piece_labels("p", "m")).collect()] == [[0, 1, 1], []]
+
+
+def test_language_fallback_takes_the_first_text_that_yields_one(spark):
+    from wordlake.operators import language as lg
+
+    english, german = "the house and the garden and the other thing", "das haus und der garten und die andere sache"
+    train = spark.createDataFrame([("en", english), ("de", german)], "lang string, text string")
+    rows = [(1, english, german), (2, None, german), (3, "", german), (4, "漢字", german), (5, None, None), (6, "", ""), (7, german, english)]
+    df = spark.createDataFrame(rows, "id long, one string, two string")
+    profiles = lg.train_profiles(train, "text", "lang")
+    got = {r.id: r.lang_detected for r in lg.detect_with_fallback(df, "id", ["one", "two"], profiles).collect()}
+    assert got == {1: "en", 2: "de", 3: "de", 4: "de", 5: None, 6: None, 7: "de"}

@@ -37,9 +37,13 @@ def detect(texts: DataFrame, key: str, text_col: str, profiles: DataFrame, out:
 
 
 def detect_with_fallback(df: DataFrame, key: str, cols, profiles: DataFrame, out: str = "lang_detected") -> DataFrame:
-    """The first column (in order) whose text yields a language."""
-    res = df.select(key)
-    for i, c in enumerate(cols):
-        d = detect(df.where(F.col(c).isNotNull() & (F.length(c) > 0)), key, c, profiles, f"__l{i}")
-        res = res.join(d, key, "left")
-    return res.select(key, F.coalesce(*[F.col(f"__l{i}") for i in range(len(cols))]).alias(out))
+    """The first column (in order) whose text yields a language. All columns meet the profiles in one join."""
+    norm = df.select(key, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("t"))
+                                              for i, c in enumerate(cols)])).alias("__c")) \
+        .where(F.length("__c.t") > 0).select(key, F.col("__c.i").alias("__i"), trigram_text("__c.t").alias("__t"))
+    tri = norm.select(key, "__i", F.explode(character_trigrams("__t")).alias("tri")) \
+        .groupBy(key, "__i", "tri").agg(F.count(F.lit(1)).alias("n"))
+    s = tri.join(profiles, "tri").groupBy(key, "__i", "lang").agg(
+        F.sum(F.col("n") * (F.col("logp") - F.col("floor"))).alias("score"))
+    best = s.groupBy(key).agg(F.max_by("lang", F.struct(-F.col("__i"), "score", F.col("lang"))).alias(out))
+    return df.select(key).join(best, key, "left")
