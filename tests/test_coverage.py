@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from wordlake.functions import arrays as ar
 from wordlake.functions import text as tx
+from wordlake.operators import dataset as ds
+from wordlake.operators import sequences as sq
 from wordlake.operators import stemming as sm
 
 # fixed values: words and stems of the published English Snowball vocabulary
@@ -57,3 +59,17 @@ def test_language_fallback_takes_the_first_text_that_yields_one(spark):
     profiles = lg.train_profiles(train, "text", "lang")
     got = {r.id: r.lang_detected for r in lg.detect_with_fallback(df, "id", ["one", "two"], profiles).collect()}
     assert got == {1: "en", 2: "de", 3: "de", 4: "de", 5: None, 6: None, 7: "de"}
+
+
+def test_prefix_of_few_and_many_rows(spark, monkeypatch):
+    df = spark.range(0, 500, 1, 7).select((F.col("id") * 37 % 500).alias("k"))
+    few = [r.k for r in ds.prefix_rows(df, [F.desc("k")], 20).collect()]
+    monkeypatch.setattr(ds, "FEW_ROWS", 10)
+    many = [r.k for r in ds.prefix_rows(df, [F.desc("k")], 20).collect()]
+    assert few == sorted(many, reverse=True) == list(range(499, 479, -1))
+
+
+def test_sentences_without_words_keep_their_place(spark):
+    df = spark.createDataFrame([(1, [["a", "b"], [], ["c"]])], "id long, s array<array<string>>")
+    got = {(r.sent_id, r.offset, r.sentence, r.context) for r in sq.sentence_word_pairs(df, "s", 1, "id").collect()}
+    assert got == {(0, -1, "a b", "--"), (0, 1, "a b", "c"), (1, -1, "", "b"), (1, 1, "", "c"), (2, -1, "c", "b"), (2, 1, "c", "--")}

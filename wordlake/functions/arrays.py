@@ -68,11 +68,11 @@ def word_end_labels(words) -> Column:
 def piece_labels(pieces, marks) -> Column:
     """Each piece's label is the mark of its last character; pieces cover the characters of ``marks`` in order.
 
-    The end offsets are one running sum that is carried along, not a sum per piece."""
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("labels"))
-    return F.aggregate(_c(pieces), start, lambda a, p: F.struct(
-        (a["end"] + F.length(p)).alias("end"), F.array_append(a["labels"], F.get(_c(marks), a["end"] + F.length(p) - 1)).alias("labels")),
-        lambda a: a["labels"])
+    A mark after the characters of each piece stands at its end plus the marks before it, so the ends of all pieces
+    take one pass."""
+    ends = F.flatten(F.transform(_c(pieces), lambda p: F.concat(F.array_repeat(F.lit(False), F.length(p)), F.array(F.lit(True)))))
+    places = F.filter(F.transform(ends, lambda e, i: F.when(e, i)), lambda i: i.isNotNull())
+    return F.transform(places, lambda i, k: F.get(_c(marks), i - k - 1))
 
 
 def shift_right(arr, go) -> Column:

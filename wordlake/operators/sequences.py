@@ -124,11 +124,12 @@ def sentence_word_pairs(df: DataFrame, sents_col: str, window: int, keys, pad: s
     pads outside the document; the true sentence length is kept."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     # materialize the flattened words, their count and the sentence starts
-    # once per row: lambda bodies are evaluated per element
-    df = df.select(*keys, F.col(sents_col).alias("__s"), F.flatten(sents_col).alias("__words"),
-                   F.transform(sents_col, lambda x: F.size(x)).alias("__lens"))
-    df = df.select(*keys, "__s", "__words", F.size("__words").alias("__n"), F.transform(
-        "__lens", lambda x, k: F.aggregate(F.slice("__lens", 1, k), F.lit(0), lambda a, y: a + y)).alias("__start"))
+    # once per row: lambda bodies are evaluated per element. A mark before the
+    # words of each sentence stands at its start plus the marks before it.
+    df = df.select(*keys, F.col(sents_col).alias("__s"), F.flatten(sents_col).alias("__words"), F.flatten(F.transform(
+        sents_col, lambda x: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), F.size(x))))).alias("__marks"))
+    marked = F.filter(F.transform("__marks", lambda m, p: F.when(m, p)), lambda p: p.isNotNull())
+    df = df.select(*keys, "__s", "__words", F.size("__words").alias("__n"), F.transform(marked, lambda p, k: p - k).alias("__start"))
     s, words, n = F.col("__s"), F.col("__words"), F.col("__n")
 
     def at(sent, k):
