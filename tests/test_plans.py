@@ -24,3 +24,16 @@ def test_event_features_are_there(spark, tmp_path):
         IF(id % 3 = 0, NULL, '{"k": 4}') AS props FROM range(12)""").write.parquet(str(tmp_path / "events.parquet"))
     rows = mq._event_features(Tables(spark, str(tmp_path))).select("event_id", "label", *mq.EVENT_FEATURES).collect()
     assert len(rows) == 12 and all(r.label == r.event_id * 1.5 and r.user_id_d == r.event_id % 5 and r.k == (0.0 if r.event_id % 3 == 0 else 4.0) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["v21_shift_right", "v08_batch_pad"])
+def test_the_one_special_row_is_broadcast(spark, tmp_path, name):
+    """A join of all texts with one row must not repeat the texts' side for each partition of the other."""
+    spark.sql("SELECT id AS doc_id, concat('one two ', IF(id % 2 = 0, 'three', 'four')) AS text FROM range(64)").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = plans.QUERIES[name].build(spark, str(tmp_path))
+        assert "CartesianProduct" not in made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == 64
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

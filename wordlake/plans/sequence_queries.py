@@ -172,7 +172,7 @@ def v08_batch_pad(spark, d):
     pad_idx = vocab.where(F.col("symbol") == "<PAD>").select("idx")
     enc = vb.encode_arrays(words, "w", vocab, "ids", unk_idx=None, keys="doc_id")
     b = sq.batches(enc.select("doc_id", "ids"), [F.asc("doc_id")], 32)
-    padded = sq.pad_batches(b.crossJoin(pad_idx.withColumnRenamed("idx", "__pad")), "ids", F.col("__pad"))
+    padded = sq.pad_batches(b.crossJoin(F.broadcast(pad_idx.withColumnRenamed("idx", "__pad"))), "ids", F.col("__pad"))
     return padded.select("doc_id", "batch_id", "length", F.size("padded").alias("padded_len"),
                          F.md5(ar.int_array_string("padded")).alias("h"),
                          ar.array_sum("mask").alias("mask_sum"))
@@ -303,7 +303,7 @@ def v21_shift_right(spark, d):
     vocab = vb.with_specials(vocab)
     go = vocab.where(F.col("symbol") == "<GO>").select(F.col("idx").alias("__go"))
     enc = vb.encode_arrays(words, "w", vocab, "ids", unk_idx=None, keys="doc_id")
-    s = enc.crossJoin(go).select("doc_id", F.when(F.size("ids") == 0, F.col("ids")).otherwise(F.concat(
+    s = enc.crossJoin(F.broadcast(go)).select("doc_id", F.when(F.size("ids") == 0, F.col("ids")).otherwise(F.concat(
         F.array(F.col("__go")), F.slice("ids", 1, F.size("ids") - 1))).alias("dec"))
     return s.select("doc_id", F.md5(ar.int_array_string("dec")).alias("h"))
 
