@@ -120,3 +120,28 @@ def test_common_direction_is_taken_out(spark):
     x /= np.linalg.norm(x, axis=1)[:, None]
     got = {r["k"]: r["vec"] for r in ve.weighted_text_vectors(tokens, vectors, "k", 6).collect()}
     assert np.allclose([got[k] for k, _ in texts], x, atol=1e-6)
+
+
+def test_text_vectors_in_blocks_and_slices(spark, monkeypatch):
+    """Blocks and slices of few cells, words with two vectors, none, a null key, two key columns: as a plain mean."""
+    monkeypatch.setattr(ve, "BLOCK_CELLS", 7)
+    rng = np.random.default_rng(5)
+    words = [(f"w{i % 25}", (rng.normal(size=4) if i % 2 else rng.integers(0, 9, 4) / 8).tolist()) for i in range(30)]  # w0 to w4 twice
+    texts = {(None if k == 3 else k % 4, "ab"[k % 2]): [f"w{rng.integers(0, 40)}" for _ in range(60 if k == 0 else 6)] for k in range(8)}
+    tokens = spark.createDataFrame([(*k, w) for k, ws in texts.items() for w in ws], "k int, s string, token string")
+    made = ve.text_vectors(tokens, spark.createDataFrame(words, "word string, vec array<double>"), ["k", "s"], 4, normalize_out=False)
+    got = {(r.k, r.s): r.vec for r in made.collect()}
+    assert set(got) == set(texts)
+    for k, ws in texts.items():
+        rows = [v for w in ws for v in ([v for x, v in words if x == w] or [[0.0] * 4])]
+        assert np.allclose(got[k], np.mean(rows, axis=0))
+
+
+def test_no_vector_travels_for_every_word_of_a_text(spark, tmp_path):
+    """200 texts of the same 50 words: a vector comes once to the block of texts, so 50 rows with vectors are exchanged, not 10,000."""
+    tokens = spark.range(10_000).select((F.col("id") % 200).alias("k"), F.concat(F.lit("w"), (F.col("id") / 200).cast("int")).alias("token"))
+    vectors = spark.range(50).select(F.concat(F.lit("w"), "id").alias("word"), F.array_repeat(F.rand(1), 16).alias("vec"))
+    made = ve.text_vectors(tokens, vectors, "k", 16)
+    assert made.count() == 200
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [block" in plan, plan

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -77,40 +78,94 @@ def normalize(vectors: DataFrame, col: str = "vec", out: str | None = None) -> D
                                                   .otherwise(x.cast("double") / F.col("__norm")))).drop("__norm")
 
 
-def _text_terms(tokens: DataFrame, vectors: DataFrame, keys: list[str], token_col: str, dim: int, fallback=None) -> DataFrame:
-    """(keys..., word, n, v) of every distinct word of a text: a vector is joined once per text and word."""
-    v = vectors.select(F.col("word").alias("__w"), F.col("vec").alias("__v"))
-    terms = tokens.groupBy(*keys, F.col(token_col).alias("word")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    fb = fallback if fallback is not None else zeros(dim)
-    return terms.join(v, terms["word"] == v["__w"], "left").select(*keys, "word", "n", array_to_vector(F.coalesce("__v", fb)).alias("v"))
+#: Cells (text, word) of a block of texts, about.
+BLOCK_CELLS = 1_000_000
+
+
+def _text_sums(tokens: DataFrame, vectors: DataFrame, keys: list[str], token_col: str, dim: int, fallback=None, scale: DataFrame | None = None) -> DataFrame:
+    """(keys..., sums, weight) of every text: its words' vectors and weights, added up. A word weighs as often as it
+    stands in the text, times its factor in ``scale`` (token, factor), which leaves out words it doesn't list.
+
+    Texts are cut into blocks, a block gets each vector it needs once, so no vector travels for every text and word;
+    blocks of far too many cells are sliced by word."""
+    names = [f"k{i}" for i in range(len(keys))]
+    terms = tokens.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(token_col).alias("word"))
+    terms = cut_lineage(terms.groupBy(*names, "word").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    blocks = max(1, -(-terms.count() // BLOCK_CELLS))
+    terms = terms.withColumn("block", F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int"))
+    heavy = terms.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CELLS).alias("slices")).where("slices > 2")  # a row a block at most
+    terms = terms.join(F.broadcast(heavy), "block", "left").withColumn(
+        "slice", F.pmod(F.xxhash64("word", F.lit(5)), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+    need = terms.select("block", "slice", "word").distinct()
+    if scale is not None:
+        need = need.join(scale.select(F.col("token").alias("word"), "factor"), "word")
+    found = need.join(vectors.select("word", "vec"), "word", "left").withColumn("vec", F.coalesce("vec", fallback) if fallback is not None else F.col("vec"))
+    exact = F.forall("vec", lambda x: x == x.cast("float").cast("double"))  # 4 bytes where they say the same
+    found = found.select(F.col("block").alias("b"), F.col("slice").alias("s"), F.col("word").alias("w"), *(["factor"] if scale is not None else []),
+                         F.when(exact, F.col("vec").cast("array<float>")).alias("half"), F.when(F.coalesce(~exact, F.lit(True)), F.col("vec")).alias("full"))
+
+    def add(cells: pa.Table, words: pa.Table) -> pa.Table:
+        code = words.column("w").combine_chunks().dictionary_encode(null_encoding="encode")
+        listed, code = code.dictionary, code.indices.to_numpy(zero_copy_only=False)
+        x = np.zeros((len(listed), dim))
+        for c in ("half", "full"):
+            column = words.column(c).combine_chunks()
+            np.add.at(x, code[column.is_valid().to_numpy(zero_copy_only=False)], column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+        often = np.bincount(code, minlength=len(listed)).astype(float)  # a word may have several vectors
+        if "factor" in words.column_names:
+            factor = np.zeros(len(listed))
+            factor[code] = words.column("factor").to_numpy()
+        else:
+            factor = np.ones(len(listed))
+        at = pc.index_in(cells.column("word").combine_chunks(), value_set=listed).fill_null(-1).to_numpy(zero_copy_only=False)
+        cells, at = cells.filter(pa.array(at >= 0)), at[at >= 0]
+        text = np.zeros(len(at), np.int64)
+        for k in names:
+            part = cells.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+            text = np.unique(text * (len(part.dictionary) + 1) + part.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        order = np.argsort(text, kind="stable")
+        text, at, n = text[order], at[order], cells.column("n").to_numpy()[order]
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        weight = n * factor[at]
+        total = np.zeros((len(first), dim))
+        for lo in range(0, len(text), 1 << 16):
+            t = text[lo : lo + (1 << 16)]
+            starts = np.flatnonzero(np.diff(t, prepend=-1))
+            total[t[starts]] += np.add.reduceat(x[at[lo : lo + len(t)]] * weight[lo : lo + len(t), None], starts)
+        keyed = {k: cells.column(k).combine_chunks().take(pa.array(order[first])) for k in names}
+        sums = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), dim).cast(pa.list_(pa.float64()))
+        return pa.table({**keyed, "sums": sums, "weight": np.bincount(text, weight * often[at], len(first))})
+
+    kinds = ", ".join(f"{n} {terms.schema[n].dataType.simpleString()}" for n in names)
+    parts = terms.groupBy("block", "slice").cogroup(found.groupBy("b", "s")).applyInArrow(add, f"{kinds}, sums array<double>, weight double")
+    whole = parts.groupBy(*names).agg(Summarizer.sum(array_to_vector("sums")).alias("sums"), F.sum("weight").alias("weight"))
+    return whole.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], vector_to_array("sums").alias("sums"), "weight")
 
 
 def text_vectors(tokens: DataFrame, vectors: DataFrame, key, dim: int, token_col: str = "token",
                  fallback=None, normalize_out: bool = True) -> DataFrame:
     """Text vector = mean of its token vectors (misses use ``fallback``,
-    zeros by default), then l2-normalized. Mean via Summarizer (partial
-    aggregation of ml vectors, weighted by the word's count in the text), not
-    an explode per dimension."""
+    zeros by default), then l2-normalized. The sums are taken per block of
+    texts (`_text_sums`), not by an explode per dimension."""
     keys = [key] if isinstance(key, str) else list(key)
-    terms = _text_terms(tokens, vectors, keys, token_col, dim, fallback)
-    m = terms.groupBy(*keys).agg(Summarizer.mean(F.col("v"), F.col("n")).alias("__m"))
-    out = m.select(*keys, vector_to_array("__m").alias("vec"))
+    out = _means(_text_sums(tokens, vectors, keys, token_col, dim, fallback), keys)
     return normalize(out) if normalize_out else out
 
 
+def _means(sums: DataFrame, keys: list[str]) -> DataFrame:
+    return sums.select(*keys, F.transform("sums", lambda x: x / F.col("weight")).alias("vec"))
+
+
 def weighted_text_vectors(tokens: DataFrame, vectors: DataFrame, key, dim: int, token_col: str = "token", a: float = 1e-3,
                           common: int = 1, fallback=None) -> DataFrame:
     """E9 with frequency weights: a word of corpus share p weighs a / (a + p) (Arora, Liang and Ma, 2017); then the
     ``common`` first directions of all texts, by power iteration on the dim x dim matrix of their products, are taken
     out, and what is left is l2-normalized. Corpus counts are one aggregate; only that matrix reaches the driver."""
     keys = [key] if isinstance(key, str) else list(key)
-    terms = _text_terms(tokens, vectors, keys, token_col, dim, fallback)
-    counts = tokens.groupBy(F.col(token_col).alias("__t")).agg(F.count(F.lit(1)).cast("double").alias("__c"))
-    total = counts.agg(F.sum("__c").alias("__all"))  # one row
-    share = counts.crossJoin(F.broadcast(total)).select("__t", (F.col("__c") / F.col("__all")).alias("__p"))
-    weighed = terms.join(share, terms["word"] == share["__t"]).withColumn("weight", F.col("n") * a / (a + F.col("__p")))
-    m = weighed.groupBy(*keys).agg(Summarizer.mean(F.col("v"), F.col("weight")).alias("__m"))
-    rows = m.select(*keys, vector_to_array("__m").alias("vec"))
+    counts = tokens.groupBy(F.col(token_col).alias("token")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    total = counts.agg(F.sum("c").alias("all"))  # one row
+    scale = counts.crossJoin(F.broadcast(total)).select("token", (F.lit(a) / (a + F.col("c") / F.col("all"))).alias("factor"))
+    rows = _means(_text_sums(tokens, vectors, keys, token_col, dim, fallback, scale), keys)
     if not common:
         return normalize(rows)
     rows = cut_lineage(rows)
