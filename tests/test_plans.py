@@ -6,7 +6,10 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from wordlake import plans
+from wordlake.operators import models as md
 from wordlake.plans import model_queries as mq
 from wordlake.plans.registry import Tables
 
@@ -37,3 +40,16 @@ def test_the_one_special_row_is_broadcast(spark, tmp_path, name):
         assert made.count() == 64
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stacking_makes_its_features_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def feature(i):
+        made.add(1)
+        return float(i % 7)
+
+    df = spark.range(60).select(F.col("id").alias("key"), (F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 3).cast("int").alias("fold"), feature("id").alias("x"))
+    rows = md.stack(df, "fold", 3, {"p": lambda: md.classifier("lr")}, ["x"], "key", "label").collect()
+    assert sorted(r.key for r in rows) == list(range(60)) and made.value == 60

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordlake.functions import text as tx
+from wordlake.session import cut_lineage
 
 DOC_FEATURES = ["n_chars", "n_words", "n_sentences", "distinct_share", "mean_word_len", "upper_share", "is_en"]
 
@@ -117,10 +118,13 @@ def out_of_fold(df: DataFrame, fold_col: str, k: int, make_estimator, feature_co
 def stack(df: DataFrame, fold_col: str, k: int, base: dict, feature_cols, key: str, label: str) -> DataFrame:
     """Out-of-fold base probabilities joined side by side on the
     row key, then a logistic-regression meta model that scores each fold
-    from a fit on the others."""
+    from a fit on the others. The features and the base layer are written
+    once; every fit reads them several times."""
+    df = cut_lineage(df)
     meta = df.select(key, label, fold_col)
     for name, make in base.items():
         meta = meta.join(out_of_fold(df, fold_col, k, make, feature_cols, key, name), key)
+    meta = cut_lineage(meta)
     names = list(base)
     parts = [fit_predict(meta.where(F.col(fold_col) != f), meta.where(F.col(fold_col) == f), classifier("lr", label), names,
                          keep=[key, label, *names])[1] for f in range(k)]
