@@ -39,7 +39,7 @@ def with_specials(vocab: DataFrame, specials=SPECIALS) -> DataFrame:
     spark = vocab.sparkSession
     base = vocab.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).cast("long").alias("base"))
     lit_rows = spark.createDataFrame([(s, i) for i, s in enumerate(specials)], "symbol string, k long")
-    extra = lit_rows.crossJoin(base).select(
+    extra = lit_rows.crossJoin(F.broadcast(base)).select(
         "symbol", F.lit(0).cast("long").alias("freq"), (F.col("base") + F.col("k")).alias("idx"))
     return vocab.select("symbol", "freq", "idx").unionByName(extra)
 
