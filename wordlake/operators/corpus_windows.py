@@ -99,24 +99,22 @@ def _crossing(edges: DataFrame) -> DataFrame:
         F.col("l.i").alias("p"), F.col("r.i").alias("q"), "b", "h", F.col("l.x").alias("col"), F.col("r.x").alias("row"))
 
 
-def context_pairs(segments: DataFrame, window: int) -> DataFrame:
-    """(row, col, w): every two tokens p < q of a stream with q - p <= ``window`` (row is the later one), w = 1."""
-    inside = co._explode_pairs(segments, "tokens", window)
+def context_pairs(segments: DataFrame, window: int, unordered: bool = False) -> DataFrame:
+    """(row, col, w): every two tokens p < q of a stream with q - p <= ``window`` (row is the later one) in partial sums,
+    w is their number. ``unordered``: the order within a pair doesn't matter, so that it is summed both ways at once."""
+    inside = co.pairs(segments, "tokens", window, unordered=unordered)
     over = _crossing(borders(segments, window)).where((F.col("q") >= F.col("b")) & (F.col("q") - F.col("p") <= window))
     return inside.unionByName(over.select("row", "col", F.lit(1.0).alias("w")))
 
 
-def sliding_pairs(segments: DataFrame, window: int) -> DataFrame:
+def sliding_pairs(segments: DataFrame, window: int, unordered: bool = False) -> DataFrame:
     """(row, col, w) of C4: w counts the tokens t of the stream with q < t <= p + ``window``.
 
     A count belongs to the segment of t. Inside it the closed form holds with the segment's end as the stream's end;
     counts whose p lies before the segment come from its border."""
-    def inner(p0, d, n):
-        return F.greatest(F.least(p0 + window, n - 1) - (p0 + d), F.lit(0))
-
     if window < 2:  # never holds two words before the next
         return context_pairs(segments, 1).limit(0)
-    inside = co._explode_pairs(segments, "tokens", window - 1, inner).where("w > 0")
+    inside = co.pairs(segments, "tokens", window - 1, window, unordered=unordered)
     t_first, t_last = F.greatest(F.col("q") + 1, F.col("b")), F.least(F.col("p") + window, F.col("b") + F.col("h") - 1)
     over = _crossing(borders(segments, window)).select("row", "col", (t_last - t_first + 1).cast("double").alias("w")).where("w > 0")
     return inside.unionByName(over)

@@ -61,7 +61,7 @@ def c01_corpus(spark, d):
 @query("c02_corpus", f"SELECT * FROM {_both_ways(_pairs(_DOCS, 5), '1.0::DOUBLE', 'row_word <> col_word')}")
 def c02_corpus(spark, d):
     """C2 over all documents as one stream, window 5 across documents, equal words skipped."""
-    return cw.matrix(cw.context_pairs(_document_segments(Tables(spark, d)), 5), skip_equal=True, symmetric=True)
+    return cw.matrix(cw.context_pairs(_document_segments(Tables(spark, d)), 5, unordered=True), skip_equal=True, symmetric=True)
 
 
 @query("c03_corpus", f"SELECT * FROM {_both_ways(_pairs(_CONV, 2), '1.0::DOUBLE')}")
@@ -73,7 +73,7 @@ def c03_corpus(spark, d):
 @query("c04_corpus", f"SELECT * FROM {_both_ways(_pairs(_DOCS, 4), _C4)}")
 def c04_corpus(spark, d):
     """C4 over all documents as one stream: sliding-window pair counts, window 5 across documents."""
-    return cw.matrix(cw.sliding_pairs(_document_segments(Tables(spark, d)), 5), skip_equal=False, symmetric=True)
+    return cw.matrix(cw.sliding_pairs(_document_segments(Tables(spark, d)), 5, unordered=True), skip_equal=False, symmetric=True)
 
 
 @query("c05_corpus", f"""SELECT row_word, col_word, round(weight / sum(weight) OVER (), 9) AS weight
