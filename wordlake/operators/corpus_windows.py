@@ -125,18 +125,20 @@ def matrix(pairs: DataFrame, skip_equal: bool, symmetric: bool) -> DataFrame:
     return co.pair_sums(pairs, skip_equal, symmetric)
 
 
-def skipgram_rows(segments: DataFrame, window: int, pad: str = PAD) -> DataFrame:
+def skipgram_rows(segments: DataFrame, window: int, pad: str = PAD, keyed: bool = False) -> DataFrame:
     """W9 over whole streams: (stream, at, i, offset, word, context) for offsets -window..-1 and 1..window of the i-th
-    token of a segment; ``pad`` outside the stream. With packed segments, ``keys[i]`` of the segment names the token."""
+    token of a segment; ``pad`` outside the stream. With packed segments, ``keys[i]`` of the segment names the token;
+    ``keyed`` rows have it as ``key``, and only those at a segment's borders are joined with it."""
     offsets = [o for o in range(-window, window + 1) if o]
     n = F.size("tokens")
     inside = []
     for o in offsets:  # i from max(0, -o); as many as have a partner inside
         first, m = max(0, -o), F.greatest(n - abs(o), F.lit(0))
         inside.append(F.arrays_zip(F.slice("tokens", first + 1, m).alias("word"), F.slice("tokens", first + o + 1, m).alias("context"),
-                                   F.sequence(F.lit(first), F.greatest(m, F.lit(1)) + first - 1).alias("i"), F.array_repeat(F.lit(o), F.greatest(m, F.lit(1))).alias("offset")))
+                                   F.sequence(F.lit(first), F.greatest(m, F.lit(1)) + first - 1).alias("i"), F.array_repeat(F.lit(o), F.greatest(m, F.lit(1))).alias("offset"),
+                                   *([F.slice("keys", first + 1, m).alias("key")] if keyed else [])))
     inner = segments.select("stream", "at", F.explode(F.concat(*inside)).alias("x")).where(F.col("x.word").isNotNull()).select(
-        "stream", "at", "x.i", "x.offset", "x.word", "x.context")
+        "stream", "at", "x.i", "x.offset", "x.word", "x.context", *(["x.key"] if keyed else []))
     edges = borders(segments, window)
     out = []
     for o in offsets:
@@ -150,6 +152,11 @@ def skipgram_rows(segments: DataFrame, window: int, pad: str = PAD) -> DataFrame
             some = edges.select("stream", "at", "n", "after", F.size("tail").alias("m"), F.explode(_numbered("tail")).alias("y")).where(left < o)
             out.append(some.select("stream", "at", (F.col("n") - F.col("m") + F.col("y.i")).alias("i"), F.lit(o).alias("offset"), F.col("y.x").alias("word"),
                                    F.coalesce(F.get("after", F.lit(o - 1) - left), F.lit(pad)).alias("context")))
-    for rows in out:
-        inner = inner.unionByName(rows)
-    return inner
+    outer = out[0]
+    for rows in out[1:]:
+        outer = outer.unionByName(rows)
+    if keyed:
+        names = segments.select("stream", "at", n.alias("n"), F.posexplode("keys").alias("i", "key")).where((F.col("i") < window) | (F.col("i") >= F.col("n") - window))
+        names = names.select(F.col("stream").alias("__stream"), F.col("at").alias("__at"), F.col("i").alias("__i"), "key")
+        outer = outer.join(names, F.col("stream").eqNullSafe(F.col("__stream")) & (F.col("at") == F.col("__at")) & (F.col("i") == F.col("__i"))).drop("__stream", "__at", "__i")
+    return inner.unionByName(outer)

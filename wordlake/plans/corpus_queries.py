@@ -101,8 +101,7 @@ FROM s CROSS JOIN o LEFT JOIN s c ON c.k = s.k + o.o AND c.conv_id = s.conv_id""
 def w09_corpus_rows(spark, d):
     """W9 on (stream, pos, token) rows, one stream a conversation: three words before and after, across its turns."""
     segments = cw.pack(_conversation_tokens(Tables(spark, d)), ["conv_id", "turn", "pos"], stream_col="conv_id")
-    names = segments.select("stream", "at", F.posexplode("keys").alias("i", "key"))
-    return cw.skipgram_rows(segments, 3).join(names, ["stream", "at", "i"]).select(
+    return cw.skipgram_rows(segments, 3, keyed=True).where(F.col("stream").isNotNull()).select(
         "key.conv_id", "key.turn", F.col("key.pos").cast("long").alias("pos"), "offset", "word", "context")
 
 
