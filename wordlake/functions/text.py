@@ -49,10 +49,11 @@ def strip_links(col) -> Column:
 
 def letters_only_words(col) -> Column:
     """Non-letters -> space, lowercase, split on whitespace, drop ''."""
-    s = F.lower(F.regexp_replace(_c(col), NON_LETTERS, " "))
-    # after trim + split on runs of spaces, '' only appears for an empty text;
+    # a run of non-letters becomes one space, so the split needs no pattern
+    s = F.lower(F.regexp_replace(_c(col), NON_LETTERS + "+", " "))
+    # after trim + split, '' only appears for an empty text;
     # array_remove is code-generated (a filter lambda would be interpreted)
-    return F.array_remove(F.split(F.trim(s), " +"), "")
+    return F.array_remove(F.split(F.trim(s), " "), "")
 
 
 def remove_stop_words(tokens, stops=ENGLISH_STOP_WORDS) -> Column:

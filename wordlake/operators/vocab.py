@@ -8,10 +8,15 @@ all rows) costs one row per map partition in the shuffle. Indices come from
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordlake.operators import blocks as bl
 from wordlake.operators.ordering import global_index
+from wordlake.session import cut_lineage
 
 SPECIALS = ("<UNK>", "<PAD>", "<GO>")
 
@@ -61,10 +66,10 @@ def capped_vocabulary(tokens: DataFrame, n_words: int, token_col: str = "token")
 
     Ties in frequency are broken by the symbol (desc) for determinism.
     """
-    freq = frequencies(tokens, token_col)
+    freq = cut_lineage(frequencies(tokens, token_col))  # the corpus is read once
     top = freq.orderBy(F.desc("freq"), F.desc("symbol")).limit(max(n_words - 1, 0))
     ranked = global_index(top, [F.desc("freq"), F.desc("symbol")], "idx", 1)
-    total = tokens.agg(F.count(F.lit(1)).alias("n"))
+    total = freq.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("n"))
     kept = ranked.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("k"))
     unk = total.crossJoin(kept).select(F.lit("<UNK>").alias("symbol"),
                                        (F.col("n") - F.col("k")).alias("freq"), F.lit(0).cast("long").alias("idx"))
@@ -105,7 +110,34 @@ def document_frequency(tokens: DataFrame, doc_col: str, token_col: str = "token"
         .agg(F.count(F.lit(1)).alias("df"))
 
 
-def bag_of_words(tokens: DataFrame, doc_col: str, token_col: str = "token",
+def term_counts(docs: DataFrame, arr_col: str, doc_col: str) -> DataFrame:
+    """(doc, term, tf), written once. A row's terms are counted where it lies; only documents of several rows are summed."""
+    kind = docs.schema[arr_col].dataType.elementType.simpleString()
+
+    def counted(batches):
+        for batch in batches:
+            doc, arrays = batch.columns
+            length = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy().astype(np.int64)
+            values = arrays.flatten()
+            for lo, hi, start, stop in bl.cuts(length, bl.BLOCK):
+                words = values.slice(start, stop - start).dictionary_encode()
+                code = pc.fill_null(words.indices, -1).to_numpy().astype(np.int64)
+                place = np.repeat(np.arange(lo, hi), length[lo:hi]) * len(words.dictionary) + code
+                place, n = np.unique(place[code >= 0], return_counts=True)
+                row, term = np.divmod(place, max(len(words.dictionary), 1))
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(row)), words.dictionary.take(pa.array(term)), pa.array(n.astype(np.int64))], names=[doc_col, "term", "tf"])
+
+    tf = cut_lineage(docs.select(doc_col, arr_col).mapInArrow(counted, f"{bl.fields(docs, [doc_col])}, term {kind}, tf long"))
+    again = bl.repeated(docs, [doc_col])
+    if again.isEmpty():
+        return tf
+    again = again.withColumnRenamed(doc_col, "__doc")
+    same = tf[doc_col].eqNullSafe(again["__doc"])
+    summed = tf.join(again, same, "left_semi").groupBy(doc_col, "term").agg(F.sum("tf").alias("tf"))
+    return tf.join(again, same, "left_anti").unionByName(summed)
+
+
+def bag_of_words(docs: DataFrame, arr_col: str, doc_col: str,
                  max_features: int | None = None, min_df: int | None = None) -> DataFrame:
     """Sparse (doc, term, tf) triples restricted to the vocabulary.
 
@@ -113,13 +145,13 @@ def bag_of_words(tokens: DataFrame, doc_col: str, token_col: str = "token",
     max_features most frequent by corpus count (ties: term asc); the term
     index is alphabetical, as in the reference.
     """
-    tf = tokens.groupBy(doc_col, F.col(token_col).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+    tf = term_counts(docs, arr_col, doc_col)
     terms = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     if min_df is not None:
         terms = terms.where(F.col("df") >= min_df)
     if max_features is not None:
         terms = terms.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
-    terms = global_index(terms.select("term"), [F.asc("term")], "term_idx")
+    terms = cut_lineage(global_index(terms.select("term"), [F.asc("term")], "term_idx"))  # its size decides the join
     return tf.join(terms, "term")
 
 
@@ -130,16 +162,55 @@ def keras_index(tokens: DataFrame, order_cols, token_col: str = "token") -> Data
     return global_index(f, [F.desc("freq"), F.asc("__first")], "idx", 1).drop("__first")
 
 
+def _sequences(df: DataFrame, arr_col: str, vocab: DataFrame, out: str, unk_idx: int | None, keys: list[str]):
+    """((keys..., out) of the rows whose keys stand in one row, the keys of several rows, (keys..., out) of these keys)."""
+    again = bl.repeated(df, keys).dropna()
+    several = not again.isEmpty()
+    once = df.join(again, keys, "left_anti") if several else df
+    blocks = bl.coded(once, keys, arr_col)
+    known = bl.found(blocks, vocab.select(F.col("symbol").alias("__symbol"), F.col("idx").cast("long").alias("idx")), "__symbol")
+
+    def looked_up(rows: pa.Table, known: pa.Table) -> pa.Table:
+        codes = rows.column("codes").combine_chunks()
+        length, code = pc.list_value_length(codes).to_numpy().astype(np.int64), codes.flatten().to_numpy()
+        ids = np.full(int(code.max(initial=-1)) + 2, 0 if unk_idx is None else unk_idx, np.int64)  # the last one stands for nulls
+        hit = np.full(len(ids), unk_idx is not None)
+        at = known.column("at").to_numpy()
+        ids[at], hit[at] = known.column("idx").to_numpy(), True
+        kept = hit[code]
+        length = np.bincount(np.repeat(np.arange(len(length)), length)[kept], minlength=len(length))
+        return pa.table({**{k: rows.column(k) for k in keys}, out: bl.listed(length, pa.array(ids[code][kept]))})
+
+    seq = blocks.drop("words").groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(looked_up, f"{bl.fields(df, keys)}, `{out}` array<long>")
+    if not several:
+        return seq, None, None
+    toks = token_table(df.join(again, keys, "left_semi").select(*keys, arr_col), arr_col, keys)
+    return seq, again, collect_sequence(encode(toks, vocab, "token", unk_idx, "__id"), keys, "pos", "__id", out)
+
+
+def encode_rows(df: DataFrame, arr_col: str, vocab: DataFrame, out: str = "ids", unk_idx: int | None = 0, keys=None) -> DataFrame:
+    """`encode_arrays` of every row of ``df``, its keys and ``out`` alone."""
+    keys = [keys] if isinstance(keys, str) else list(keys or [])
+    seq, again, summed = _sequences(df, arr_col, vocab, out, unk_idx, keys)
+    none = F.array().cast("array<long>")
+    nameless = F.greatest(*(F.col(k).isNull() for k in keys), F.lit(False))
+    seq = seq.select(*keys, F.when(nameless, none).otherwise(F.col(out)).alias(out))
+    if again is None:
+        return seq
+    rows = df.join(again, keys, "left_semi").select(*keys).join(summed, keys, "left")
+    return seq.unionByName(rows.select(*keys, F.coalesce(F.col(out), none).alias(out)))
+
+
 def encode_arrays(df: DataFrame, arr_col: str, vocab: DataFrame, out: str = "ids", unk_idx: int | None = 0,
                   keys=None) -> DataFrame:
     """V5 over whole sequences: array<string> -> array<long>, order kept.
 
-    Explode, join, re-collect per key; a row without known symbols has an
-    empty array. The vocabulary is never collected."""
+    The words of a block of rows meet the vocabulary once each; rows with equal
+    keys are one sequence, exploded, joined and re-collected. A row without
+    known symbols has an empty array. The vocabulary is never collected."""
     keys = [keys] if isinstance(keys, str) else list(keys or [])
-    toks = token_table(df.select(*keys, arr_col), arr_col, keys)
-    enc = encode(toks, vocab, "token", unk_idx, "__id")
-    seq = collect_sequence(enc, keys, "pos", "__id", out)
+    seq, again, summed = _sequences(df, arr_col, vocab, out, unk_idx, keys)
+    seq = seq if again is None else seq.unionByName(summed)
     return df.join(seq, keys, "left").withColumn(
         out, F.coalesce(F.col(out), F.array().cast("array<long>")))
 

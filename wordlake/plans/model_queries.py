@@ -30,7 +30,7 @@ ITERATIONS = 20
 
 def _bow_min_df(t):
     w = t.documents.select("doc_id", tx.remove_stop_words(tx.bow_words("text")).alias("w"))
-    return vb.bag_of_words(vb.token_table(w, "w", "doc_id"), "doc_id", min_df=20)
+    return vb.bag_of_words(w, "w", "doc_id", min_df=20)
 
 
 _FITS: dict[tuple, tuple] = {}

@@ -170,7 +170,7 @@ def v08_batch_pad(spark, d):
     words, vocab = _vocab_docs(t)
     vocab = vb.with_specials(vocab)
     pad_idx = vocab.where(F.col("symbol") == "<PAD>").select("idx")
-    enc = vb.encode_arrays(words, "w", vocab, "ids", unk_idx=None, keys="doc_id")
+    enc = vb.encode_rows(words, "w", vocab, "ids", unk_idx=None, keys="doc_id")
     b = sq.batches(enc.select("doc_id", "ids"), [F.asc("doc_id")], 32)
     padded = sq.pad_batches(b.crossJoin(F.broadcast(pad_idx.withColumnRenamed("idx", "__pad"))), "ids", F.col("__pad"))
     return padded.select("doc_id", "batch_id", "length", F.size("padded").alias("padded_len"),
@@ -211,8 +211,8 @@ vi AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_idx FROM v)
 SELECT doc_id, tf.term, tf, term_idx FROM tf JOIN vi ON tf.term = vi.term""")
 def v12_bag_of_words(spark, d):
     """Bag of words capped at the 5000 most frequent terms."""
-    toks = vb.token_table(Tables(spark, d).documents.select("doc_id", tx.bow_words("text").alias("w")), "w", "doc_id")
-    return vb.bag_of_words(toks, "doc_id", max_features=5000).select("doc_id", "term", "tf", "term_idx")
+    w = Tables(spark, d).documents.select("doc_id", tx.bow_words("text").alias("w"))
+    return vb.bag_of_words(w, "w", "doc_id", max_features=5000).select("doc_id", "term", "tf", "term_idx")
 
 
 @query("v13_bag_min_df", f"""WITH t AS (SELECT doc_id, unnest({q.remove_stops('w')}) AS term FROM {_BOW_SQL}),
@@ -223,7 +223,7 @@ SELECT doc_id, tf.term, tf, term_idx FROM tf JOIN vi ON tf.term = vi.term""")
 def v13_bag_min_df(spark, d):
     """Bag of words, English stop words removed, min document frequency 20."""
     w = Tables(spark, d).documents.select("doc_id", tx.remove_stop_words(tx.bow_words("text")).alias("w"))
-    return vb.bag_of_words(vb.token_table(w, "w", "doc_id"), "doc_id", min_df=20) \
+    return vb.bag_of_words(w, "w", "doc_id", min_df=20) \
         .select("doc_id", "term", "tf", "term_idx")
 
 
@@ -238,7 +238,7 @@ def v14_encoder_features(spark, d):
     words, vocab = _vocab_docs(t)
     vocab4 = vocab.withColumn("idx", F.col("idx") + 4)
     first = words.withColumn("w", F.slice("w", 1, 126))  # only these are encoded
-    enc = vb.encode_arrays(first, "w", vocab4, "ids", unk_idx=1, keys="doc_id")
+    enc = vb.encode_rows(first, "w", vocab4, "ids", unk_idx=1, keys="doc_id")
     f = enc.select("doc_id", sq.encoder_features("ids", 128, 2, 3, 0).alias("f"))
     return f.select("doc_id", F.md5(ar.int_array_string("f.input_ids")).alias("h"),
                     F.aggregate("f.input_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("mask_sum"),
@@ -302,7 +302,7 @@ def v21_shift_right(spark, d):
     words, vocab = _vocab_docs(t)
     vocab = vb.with_specials(vocab)
     go = vocab.where(F.col("symbol") == "<GO>").select(F.col("idx").alias("__go"))
-    enc = vb.encode_arrays(words, "w", vocab, "ids", unk_idx=None, keys="doc_id")
+    enc = vb.encode_rows(words, "w", vocab, "ids", unk_idx=None, keys="doc_id")
     s = enc.crossJoin(F.broadcast(go)).select("doc_id", F.when(F.size("ids") == 0, F.col("ids")).otherwise(F.concat(
         F.array(F.col("__go")), F.slice("ids", 1, F.size("ids") - 1))).alias("dec"))
     return s.select("doc_id", F.md5(ar.int_array_string("dec")).alias("h"))

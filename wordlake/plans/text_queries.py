@@ -230,7 +230,7 @@ def _encoded_docs(t):
     words = _doc_words(t)
     toks = vb.token_table(words, "w", "doc_id")
     vocab = vb.capped_vocabulary(toks, _CAP)
-    return vb.encode_arrays(words, "w", vocab, "ids", unk_idx=0, keys="doc_id")
+    return vb.encode_rows(words, "w", vocab, "ids", unk_idx=0, keys="doc_id")
 
 
 _ENC_SQL = f"""(WITH v AS {_CAPPED_SQL},
@@ -257,7 +257,7 @@ def v06_decode(spark, d):
     t = Tables(spark, d)
     words = _doc_words(t)
     vocab = vb.capped_vocabulary(vb.token_table(words, "w", "doc_id"), _CAP)
-    enc = vb.encode_arrays(words, "w", vocab, "ids", unk_idx=0, keys="doc_id")
+    enc = vb.encode_rows(words, "w", vocab, "ids", unk_idx=0, keys="doc_id")
     dec = vb.decode_arrays(enc, "ids", vocab.where(F.col("idx") > 0), "<UNK>", "sym", keys="doc_id")
     return dec.select("doc_id", F.md5(F.array_join("sym", " ")).alias("h"))
 
