@@ -48,15 +48,17 @@ def compact_embedding(tokens: DataFrame, vectors: DataFrame, order_cols, dim: in
     appearance, row 0 = zeros; plus coverage = matched tokens / all tokens.
     Returns (matrix DataFrame (idx, symbol, vec), coverage DataFrame)."""
     words = vectors.select(F.col("word").alias("token"), "vec")
-    matched = tokens.join(words.select("token"), "token", "left_semi")
-    first = matched.groupBy(F.col("token").alias("symbol")).agg(F.min(F.struct(*order_cols)).alias("__f"))
+    first = tokens.groupBy("token").agg(F.min(F.struct(*order_cols)).alias("__f"))
+    first = first.join(words.select("token"), "token", "left_semi").withColumnRenamed("token", "symbol")
     idx = global_index(first, [F.asc("__f")], "idx", 1).drop("__f")
     mat = idx.join(words.withColumnRenamed("token", "symbol"), "symbol")
     z = tokens.sparkSession.range(1).select(F.lit(0).cast("long").alias("idx"), F.lit("<UNK>").alias("symbol"),
                                             zeros(dim).alias("vec"))
     mat = mat.select("idx", "symbol", "vec").unionByName(z)
-    cov = tokens.agg(F.count(F.lit(1)).alias("total")).crossJoin(
-        matched.agg(F.count(F.lit(1)).alias("matched"))).withColumn(
+    # each symbol meets the table once, not each token
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.join(words.select("token", F.lit(True).alias("known")).distinct(), "token", "left")
+    cov = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("matched")).withColumn(
         "coverage", F.try_divide(F.col("matched").cast("double"), F.col("total")))
     return mat, cov
 
