@@ -27,3 +27,19 @@ def test_abbreviations_stay_whole(spark):
 def test_sentence_words(spark):
     s = spark.createDataFrame([(1, 0, ["(The", "«End»", "--", "U.S."])], "k int, sent_id int, tokens array<string>")
     assert se.sentence_words(s, "k").first()["words"] == ["the", "end", "u.s"]
+
+
+def test_patterns_meet_distinct_tokens(spark):
+    """Equal tokens of a block are marked once, and counted as often as they stand."""
+    docs = spark.createDataFrame([(i, "The team met Dr. Smith. He came.") for i in range(500)], "k int, text string").coalesce(1)
+    blocks = se._blocks(docs, ["k"], "text")
+    marked = se._marked(blocks)
+    assert marked.count() == 7
+    stats = {r["word"]: tuple(r)[1:] for r in se.word_statistics(blocks, marked).collect()}
+    assert stats["team"] == (500, 0, 500, 0) and stats["smith"] == (500, 500, 0, 0) and stats["dr"] == (500, 500, 0, 500) and stats["he"] == (500, 0, 0, 0)
+
+
+def test_equal_texts_and_texts_without_a_key(spark):
+    docs = spark.createDataFrame([(1, "One came. Two went!"), (1, "One came. Two went!"), (None, "One came. Two went!"), (2, "?"), (3, None)], "k int, text string")
+    got = sorted((r["k"] or 0, r["sent_id"], " ".join(r["tokens"])) for r in se.split_sentences(docs, "k").collect())
+    assert got == [(0, 0, "One came. Two went!"), *[(1, 0, "One came.")] * 2, *[(1, 1, "Two went!")] * 2, (2, 0, "?")]

@@ -62,7 +62,7 @@ def coded(df: DataFrame, keys: list[str], arr_col: str) -> DataFrame:
                      listed(length[lo:hi], pc.fill_null(found.indices, -1)), first_of(hi - lo, found.dictionary)], names=names)
                 block += 1
 
-    return cut_lineage(df.select(*keys, arr_col).mapInArrow(numbered, f"{fields(df, keys)}, block long, codes array<int>, words array<{kind}>"))
+    return cut_lineage(df.select(*keys, arr_col).mapInArrow(numbered, f"{fields(df, keys)}{', ' if keys else ''}block long, codes array<int>, words array<{kind}>"))
 
 
 def found(blocks: DataFrame, table: DataFrame, symbol_col: str) -> DataFrame:
