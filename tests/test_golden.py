@@ -296,3 +296,24 @@ def test_svd_of_all_words(spark, tmp_path):
     length = np.sqrt(((vec[:, top] * value[top]) ** 2).sum(1))
     norm = {r.row_word: r.norm for r in rows}
     assert norm["alone"] == 0 and max(abs(norm[w] - x) for w, x in zip(seen, length)) < 1e-2 * length.max()
+
+
+def test_svd_of_any_matrix_moves_no_cells(spark):
+    """A matrix that is not symmetric against numpy; after packing, a product's plan exchanges dense rows only."""
+    from wordlake.operators import sparse as sp
+
+    rnd = np.random.default_rng(5)
+    dense = np.where(rnd.random((40, 40)) < 0.2, rnd.integers(1, 300, (40, 40)) * np.where(rnd.random((40, 40)) < 0.1, -0.5, 1), 0)
+    cells = [(int(i), int(j), float(dense[i, j])) for i, j in zip(*np.nonzero(dense), strict=True)]
+    m = spark.createDataFrame(cells, "r int, c int, w double").repartition(3)
+    s, rows = ve.sparse_svd(m, "r", "c", "w", 3, 40, tasks=2)
+    u, value, _ = np.linalg.svd(dense)
+    assert s == pytest.approx(value[:3].tolist(), rel=1e-6)
+    got = {r.row: r.vec for r in rows.collect()}
+    for i in range(40):
+        assert np.linalg.norm(got.get(i, [0.0])) == pytest.approx(np.linalg.norm(u[i, :3] * value[:3]), abs=1e-3 * value[0])
+    packed = sp.packed(m, 8, 2)
+    assert sum(len(r.at) // 2 for r in packed.collect()) == len(cells)
+    joined = sp.with_dense(packed, sp.started(spark, 4, 8, 40), 2)
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(j") == 3  # two within the persisted cells, one of the dense rows
+    packed.unpersist()

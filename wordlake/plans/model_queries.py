@@ -21,6 +21,7 @@ from wordlake.operators import topics as tp
 from wordlake.operators import vectors as ve
 from wordlake.operators import vocab as vb
 from wordlake.operators import wordvectors as wv
+from wordlake.operators.ordering import global_index
 from wordlake.plans.registry import Tables, query
 from wordlake.session import cut_lineage
 
@@ -85,15 +86,13 @@ def e11_svd_cooccurrence(spark, d):
     """Truncated SVD (k = 10) of the two-sided co-occurrence matrix of all
     document words; singular values and the length of every word's vector
     u * s (0 for a word that stands with no other)."""
-    t = Tables(spark, d)
-    words = t.documents.select("doc_id", tx.letters_only_words("text").alias("w"))
-    found = vb.token_table(words, "w", "doc_id").select(F.col("token").alias("row_word")).distinct()
-    enc = cut_lineage(found.withColumn("r", F.monotonically_increasing_id()))
-    m = co.two_sided(words, "w", 5).join(enc, "row_word") \
-        .join(enc.select(F.col("row_word").alias("col_word"), F.col("r").alias("c")), "col_word")
-    s, scaled = ve.sparse_svd(m, "r", "c", "weight", 10)
+    words = Tables(spark, d).documents.select(F.monotonically_increasing_id().alias("row"), tx.letters_only_words("text").alias("w"))
+    found = vb.token_table(words, "w", "row").select(F.col("token").alias("symbol")).distinct()
+    enc = cut_lineage(global_index(found, [F.asc("symbol")]))
+    coded = vb.encode_rows(words, "w", enc, "ids", None, "row")
+    s, scaled = ve.sparse_svd(co.two_sided(coded, "ids", 5), "row_word", "col_word", "weight", 10, enc.count(), symmetric=True)
     sv = spark.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "component int, singular_value double")
-    top = enc.withColumnRenamed("r", "row").join(scaled, "row", "left")
+    top = enc.select(F.col("symbol").alias("row_word"), F.col("idx").alias("row")).join(scaled, "row", "left")
     spectrum = sv.agg(F.sort_array(F.collect_list(F.struct("component", "singular_value"))).alias("spectrum"))
     return top.select("row_word", F.lit(len(s)).alias("k"), F.coalesce(ar.l2_norm("vec"), F.lit(0.0)).alias("norm")).crossJoin(spectrum)
 
