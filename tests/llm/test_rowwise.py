@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -33,6 +34,16 @@ def base_counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
 
 
+def test_hashes_of_long_blocks_need_no_longer_tables():
+    """Equal spans have equal hashes before, over and behind the steps of a block, whose length the kept tables don't follow."""
+    data = np.random.default_rng(5).integers(0, 256, 3 * tb._STEP + 5).astype(np.uint8)
+    start = np.array([0, 7, tb._STEP - 3, tb._STEP, 2 * tb._STEP + 1, len(data) - 4, len(data)])
+    end = np.minimum(start + 40, len(data))
+    alone = [tb.SpanHash(data[a:b])(np.array([0]), np.array([b - a]))[0] for a, b in zip(start.tolist(), end.tolist())]
+    assert tb.SpanHash(data)(start, end).tolist() == alone
+    assert sum(t.nbytes for t in tb._power_tables()) <= 5 << 20
+
+
 def test_quality_base_and_bands(odd_docs, no_docs):
     assert quality_rules(no_docs).count() == 0
     for r, src in zip(quality_rules(odd_docs, keep=["text", "kept"]).collect(), odd_docs.collect(), strict=True):
