@@ -84,3 +84,20 @@ def test_near_copies_are_decided_row_by_row(spark):
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF001).collect()
     groups = sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:1]) for r in got)
     assert groups == [(False, 1, "a"), (False, 2, "b"), (False, 5, "c"), (False, 7, ""), (False, 8, ""), (True, 0, "d")]
+
+
+def test_kept_documents_are_not_exchanged(spark):
+    """Only documents that may be dropped take part in the join with the dropped ones."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100_000)).unionByName(docs.limit(3))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_near_copies(spark, docs, SF001)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join LeftSemi" not in plan and "Join LeftAnti" in plan
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        ids = sorted({d for d, _, c in test_jaccard.brute(rows) if d == c})
+        assert sorted(r.doc_id for r in out.collect()) == ids
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
