@@ -102,9 +102,13 @@ def _crossing(edges: DataFrame) -> DataFrame:
 def context_pairs(segments: DataFrame, window: int, unordered: bool = False) -> DataFrame:
     """(row, col, w): every two tokens p < q of a stream with q - p <= ``window`` (row is the later one) in partial sums,
     w is their number. ``unordered``: the order within a pair doesn't matter, so that it is summed both ways at once."""
-    inside = co.pairs(segments, "tokens", window, unordered=unordered)
+    return co.pairs(segments, "tokens", window, unordered=unordered).unionByName(crossing_pairs(segments, window))
+
+
+def crossing_pairs(segments: DataFrame, window: int) -> DataFrame:
+    """Those of `context_pairs` that cross a segment's border."""
     over = _crossing(borders(segments, window)).where((F.col("q") >= F.col("b")) & (F.col("q") - F.col("p") <= window))
-    return inside.unionByName(over.select("row", "col", F.lit(1.0).alias("w")))
+    return over.select("row", "col", F.lit(1.0).alias("w"))
 
 
 def sliding_pairs(segments: DataFrame, window: int, unordered: bool = False) -> DataFrame:

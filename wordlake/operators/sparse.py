@@ -16,11 +16,11 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordlake.session import cut_lineage
+from wordlake.session import cut_lineage, free_unused
 
 #: Rows of a block at most (a place has 16 bits), cells packed at a time, cells multiplied at a time.
 BLOCK_ROWS, CELLS, STEP = 1 << 16, 1 << 21, 1 << 16
-_PIECE = "i int, j int, at binary, col binary, w binary"
+PIECE = "i int, j int, at binary, col binary, w binary"
 _WEIGHTS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.float64}
 
 
@@ -39,7 +39,7 @@ def _small(w: np.ndarray) -> np.ndarray:
     return w.astype(np.float64)
 
 
-def _arrays(at: bytes, col: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def arrays(at: bytes, col: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(at) // 2
     return np.frombuffer(at, np.uint16), np.frombuffer(col, np.uint16), np.frombuffer(w, _WEIGHTS[len(w) // n])
 
@@ -62,24 +62,42 @@ def _cut(batches: list[pa.RecordBatch], blocks: int) -> pa.RecordBatch:
     return _pieces([(int(piece[lo]) // blocks, int(piece[lo]) % blocks, at[lo:hi], col[lo:hi], w[lo:hi]) for lo, hi in zip(first, ends, strict=True)])
 
 
+def cut(batches, blocks: int):
+    """Pieces of batches (row, column, weight), some batches at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CELLS:
+            yield _cut(held, blocks)
+            held, n = [], 0
+    if n:
+        yield _cut(held, blocks)
+
+
+def summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, column, weight) of the cells of one block, each once, in order."""
+    at, col, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key = at.astype(np.int64) << 16 | col
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    total = np.add.reduceat(w[order].astype(np.float64), first) if len(first) else w.astype(np.float64)
+    return key[first] >> 16, key[first] & 0xFFFF, total
+
+
 def packed(triples: DataFrame, blocks: int, tasks: int) -> DataFrame:
     """Pieces (i, j, at, col, w) of (row, column, weight) in this order of columns, partitioned by ``j`` and in the order
     of ``i``; persisted."""
-    def cut(batches):
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= CELLS:
-                yield _cut(held, blocks)
-                held, n = [], 0
-        if n:
-            yield _cut(held, blocks)
+    return gathered(triples.mapInArrow(lambda batches: cut(batches, blocks), PIECE), tasks)
+
 
+def gathered(pieces: DataFrame, tasks: int) -> DataFrame:
+    """Pieces with few equal cells, partitioned by ``j`` and in the order of ``i``; written once, so that nothing of the
+    pieces they come from stays, and persisted."""
     def one(place: tuple, parts: list[tuple]) -> pa.RecordBatch:
-        at, col, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(at, kind="stable")
-        return _pieces([(*place, at[order], col[order], w[order])])
+        at, col, w = summed(parts)
+        return _pieces([(*place, at.astype(np.uint16), col.astype(np.uint16), w)])
 
     def merged(batches):
         place, parts, n = None, [], 0
@@ -89,13 +107,14 @@ def packed(triples: DataFrame, blocks: int, tasks: int) -> DataFrame:
                     yield one(place, parts)
                     parts, n = [], 0
                 place = r["i"], r["j"]
-                parts.append(_arrays(r["at"], r["col"], r["w"]))
+                parts.append(arrays(r["at"], r["col"], r["w"]))
                 n += len(parts[-1][0])
         if parts:
             yield one(place, parts)
 
-    small = triples.mapInArrow(cut, _PIECE).repartition(tasks, "j").sortWithinPartitions("i", "j")
-    return small.mapInArrow(merged, _PIECE).repartition(tasks, "j").sortWithinPartitions("i", "j").persist(StorageLevel.MEMORY_AND_DISK)
+    small = cut_lineage(pieces.repartition(tasks, "j").sortWithinPartitions("i", "j").mapInArrow(merged, PIECE))
+    free_unused(small.sparkSession)
+    return small.repartition(tasks, "j").sortWithinPartitions("i", "j").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def with_dense(cells: DataFrame, x: DataFrame, tasks: int) -> DataFrame:
@@ -122,7 +141,7 @@ def product(cells: DataFrame, x: DataFrame, width: int, blocks: int, size: int,
                         yield sums()
                     block = r["i"]
                     total, touched = np.zeros((rows_of(block, blocks, size), width)), np.zeros(rows_of(block, blocks, size), bool)
-                at, col, w = _arrays(r["at"], r["col"], r["w"])
+                at, col, w = arrays(r["at"], r["col"], r["w"])
                 dense = np.frombuffer(r["x"]).reshape(-1, width)
                 for lo in range(0, len(at), STEP):
                     a, b = at[lo : lo + STEP], col[lo : lo + STEP]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wordlake.functions import arrays as ar
 from wordlake.functions import text as tx
 from wordlake.functions.stopwords import ENGLISH_STOP_WORDS
+from wordlake.operators import blocked_pairs as bp
 from wordlake.operators import cooccur as co
 from wordlake.operators import sequences as sq
 from wordlake.operators import vocab as vb
@@ -327,7 +328,7 @@ SELECT row_word, col_word, sum(w8) AS weight FROM
   (SELECT row_word, col_word, w8 FROM p UNION ALL SELECT col_word, row_word, w8 FROM p) GROUP BY 1, 2""")
 def c02_context(spark, d):
     """Two-sided context counts over documents, window 5, equal words skipped."""
-    return co.two_sided(_doc_words(Tables(spark, d)), "w", 5)
+    return bp.two_sided(_doc_words(Tables(spark, d)), "w", 5)
 
 
 @query("c03_context_equal", f"""WITH p AS {_pairs_sql(_CONV_W, 'conv_id, turn', 2)}
