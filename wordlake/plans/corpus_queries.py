@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wordlake.functions import text as tx
+from wordlake.operators import blocked_pairs as bp
 from wordlake.operators import cooccur as co
 from wordlake.operators import corpus_windows as cw
 from wordlake.operators import sentences as se
@@ -61,7 +62,8 @@ def c01_corpus(spark, d):
 @query("c02_corpus", f"SELECT * FROM {_both_ways(_pairs(_DOCS, 5), '1.0::DOUBLE', 'row_word <> col_word')}")
 def c02_corpus(spark, d):
     """C2 over all documents as one stream, window 5 across documents, equal words skipped."""
-    return cw.matrix(cw.context_pairs(_document_segments(Tables(spark, d)), 5, unordered=True), skip_equal=True, symmetric=True)
+    words = Tables(spark, d).documents.select("doc_id", tx.letters_only_words("text").alias("w"))
+    return bp.stream_two_sided(words, "w", ["doc_id"], 5)
 
 
 @query("c03_corpus", f"SELECT * FROM {_both_ways(_pairs(_CONV, 2), '1.0::DOUBLE')}")
