@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordlake.functions import arrays as ar
@@ -255,25 +255,35 @@ def project(rows: DataFrame, vec_col: str, basis, out: str = "coords") -> DataFr
     return rows.withColumn(out, F.array(*coords))
 
 
+def _both_packed(triples: DataFrame, row_idx: str, col_idx: str, value: str, symmetric: bool, blocks: int, tasks: int):
+    """The packed cells of the matrix and of its transpose."""
+    m = triples.select(F.col(row_idx).cast("long").alias("r"), F.col(col_idx).cast("long").alias("c"), F.col(value).cast("double").alias("w"))
+    if not symmetric:
+        m = cut_lineage(m)  # read twice
+    cells = sp.packed(m, blocks, tasks)
+    back = cells if symmetric else sp.packed(m.select("c", "r", "w"), blocks, tasks)
+    return cells, back
+
+
 def sparse_svd(triples: DataFrame, row_idx: str, col_idx: str, value: str, k: int, size: int, symmetric: bool = False,
-               extra: int = 10, tolerance: float = 1e-7, most: int = 100, tasks: int | None = None):
+               extra: int = 10, tolerance: float = 1e-7, most: int = 100, tasks: int | None = None, pieces=None):
     """E11 on a sparse (row, col, value) matrix of any width, rows and columns
     numbered from 0 to ``size`` - 1: block power iterations by the blocked
     products of `sparse`. A matrix that is not ``symmetric`` is packed by rows
     too, for the products with its transpose. The driver holds only the Gram
     matrices of the k + ``extra`` columns. Repeats until the k singular values
     change by at most ``tolerance`` of the first, or ``most`` times. A table
-    of the iteration is deleted when the next is written.
+    of the iteration is deleted when the next is written. ``pieces``, a function of the number of blocks, gives the
+    packed cells of a symmetric matrix in place of ``triples``.
     Returns (s, rows (row, vec) with vec = u * s, 0 for a row without a cell;
     rows may be left out if their block has none)."""
-    spark, width = triples.sparkSession, k + extra
+    spark, width = SparkSession.active(), k + extra
     tasks = tasks or max(2, spark.sparkContext.defaultParallelism)
     blocks = sp.block_count(size, tasks)
-    m = triples.select(F.col(row_idx).cast("long").alias("r"), F.col(col_idx).cast("long").alias("c"), F.col(value).cast("double").alias("w"))
-    if not symmetric:
-        m = cut_lineage(m)  # read twice
-    cells = sp.packed(m, blocks, tasks)
-    back = cells if symmetric else sp.packed(m.select("c", "r", "w"), blocks, tasks)
+    if pieces:
+        cells = back = sp.gathered(pieces(blocks), tasks)
+    else:
+        cells, back = _both_packed(triples, row_idx, col_idx, value, symmetric, blocks, tasks)
 
     def spectrum(y):
         value, way = np.linalg.eigh(sp.gram(y, width))

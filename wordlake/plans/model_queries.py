@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from wordlake.functions import arrays as ar
 from wordlake.functions import math as mt
 from wordlake.functions import text as tx
+from wordlake.operators import blocked_pairs as bp
 from wordlake.operators import boosting as bo
-from wordlake.operators import cooccur as co
 from wordlake.operators import dataset as ds
 from wordlake.operators import evaluate as ev
 from wordlake.operators import models as md
@@ -21,9 +21,7 @@ from wordlake.operators import topics as tp
 from wordlake.operators import vectors as ve
 from wordlake.operators import vocab as vb
 from wordlake.operators import wordvectors as wv
-from wordlake.operators.ordering import global_index
 from wordlake.plans.registry import Tables, query
-from wordlake.session import cut_lineage
 
 K_TOPICS = 20
 ITERATIONS = 20
@@ -87,10 +85,9 @@ def e11_svd_cooccurrence(spark, d):
     document words; singular values and the length of every word's vector
     u * s (0 for a word that stands with no other)."""
     words = Tables(spark, d).documents.select(F.monotonically_increasing_id().alias("row"), tx.letters_only_words("text").alias("w"))
-    found = vb.token_table(words, "w", "row").select(F.col("token").alias("symbol")).distinct()
-    enc = cut_lineage(global_index(found, [F.asc("symbol")]))
-    coded = vb.encode_rows(words, "w", enc, "ids", None, "row")
-    s, scaled = ve.sparse_svd(co.two_sided(coded, "ids", 5), "row_word", "col_word", "weight", 10, enc.count(), symmetric=True)
+    coded, enc, size, _ = bp.numbered(words, "w", ["row"])
+    s, scaled = ve.sparse_svd(None, "row_word", "col_word", "weight", 10, size, symmetric=True,
+                              pieces=lambda blocks: bp.pieces(coded, "ids", 5, blocks, skip_equal=True, both_ways=True))
     sv = spark.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "component int, singular_value double")
     top = enc.select(F.col("symbol").alias("row_word"), F.col("idx").alias("row")).join(scaled, "row", "left")
     spectrum = sv.agg(F.sort_array(F.collect_list(F.struct("component", "singular_value"))).alias("spectrum"))
