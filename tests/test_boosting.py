@@ -145,3 +145,17 @@ def test_no_vector_travels_for_every_word_of_a_text(spark, tmp_path):
     assert made.count() == 200
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [block" in plan, plan
+
+
+def test_words_of_a_text_are_counted_where_they_are(spark, monkeypatch):
+    """A row for a text with numbers for its words, null ones too, and each word once a block; nothing is exchanged before."""
+    rows = [(1, "a"), (1, "b"), (1, "a"), (None, "a"), (None, None), (2, None), (1, "c"), (None, None)]
+    df = spark.createDataFrame(rows, "k0 int, word string").coalesce(1)
+    found = ve._word_blocks(df, ["k0"]).collect()
+    words = next(r.words for r in found if r.words)
+    assert len(words) == 4 and sum(len(r.words) for r in found) == 4
+    assert {r.k0: {words[i]: n for i, n in zip(r["at"], r["n"])} for r in found} == {1: {"a": 2, "b": 1, "c": 1}, None: {"a": 1, None: 2}, 2: {None: 1}}
+    assert len(found) == 3 and ve._word_blocks(df.limit(0), ["k0"]).count() == 0
+    monkeypatch.setattr(ve, "BLOCK_CELLS", 1)
+    many = spark.range(50_000).select((F.col("id") % 3).cast("int").alias("k0"), F.concat(F.lit("w"), F.col("id") % 7).alias("word")).coalesce(1)
+    assert ve._word_blocks(many, ["k0"]).selectExpr("count(distinct block) > 1 AND sum(aggregate(n, 0, (a, x) -> a + x)) = 50000").first()[0]

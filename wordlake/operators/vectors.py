@@ -10,12 +10,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordlake.functions import arrays as ar
+from wordlake.operators import blocks as bl
 from wordlake.operators import sparse as sp
 from wordlake.operators.ordering import global_index
 from wordlake.operators.search import nearest  # noqa: F401
@@ -80,30 +82,58 @@ def normalize(vectors: DataFrame, col: str = "vec", out: str | None = None) -> D
                                                   .otherwise(x.cast("double") / F.col("__norm")))).drop("__norm")
 
 
-#: Cells (text, word) of a block of texts, about.
+#: Words of a block of texts, about.
 BLOCK_CELLS = 1_000_000
 
 
+def _word_blocks(terms: DataFrame, names: list[str]) -> DataFrame:
+    """(names..., block, at, n, words) of (names..., word): blocks of about BLOCK_CELLS rows, cut where the rows are. A row
+    says how often (``n``) a text has which (``at``) of the ``words`` in the first row of its block; written once."""
+    def block_of(rows: pa.Table, block: int) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        columns = {c: rows.column(c).combine_chunks() for c in rows.column_names}
+        text = np.zeros(rows.num_rows, np.int64)
+        for k in names:
+            part = columns[k].dictionary_encode(null_encoding="encode")
+            text = np.unique(text * (len(part.dictionary) + 1) + part.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        word = columns["word"].dictionary_encode(null_encoding="encode")
+        cell, n = np.unique(text * len(word.dictionary) + word.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        of, at = np.divmod(cell, len(word.dictionary))
+        length = np.bincount(of)
+        first = pa.array(np.unique(text, return_index=True)[1])
+        lists = [bl.listed(length, pa.array(x.astype(np.int32))) for x in (at, n)]
+        return pa.RecordBatch.from_arrays([*(columns[k].take(first) for k in names), pa.array(np.full(len(length), block)), *lists, bl.first_of(len(length), word.dictionary)],
+                                          names=[*names, "block", "at", "n", "words"])
+
+    def cut(batches):
+        held, n, block = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BLOCK_CELLS:
+                yield block_of(pa.Table.from_batches(held), block)
+                held, n, block = [], 0, block + 1
+        if n:
+            yield block_of(pa.Table.from_batches(held), block)
+
+    kinds = "".join(f"{n} {terms.schema[n].dataType.simpleString()}, " for n in names)
+    return cut_lineage(terms.mapInArrow(cut, f"{kinds}block long, at array<int>, n array<int>, words array<{terms.schema['word'].dataType.simpleString()}>"))
+
+
 def _text_sums(tokens: DataFrame, vectors: DataFrame, keys: list[str], token_col: str, dim: int, fallback=None, scale: DataFrame | None = None) -> DataFrame:
     """(keys..., sums, weight) of every text: its words' vectors and weights, added up. A word weighs as often as it
     stands in the text, times its factor in ``scale`` (token, factor), which leaves out words it doesn't list.
 
-    Texts are cut into blocks, a block gets each vector it needs once, so no vector travels for every text and word;
-    blocks of far too many cells are sliced by word."""
+    Texts are cut into blocks, a block gets each vector it needs once, so no vector travels for every text and word. A
+    text may stand in several blocks."""
     names = [f"k{i}" for i in range(len(keys))]
-    terms = tokens.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(token_col).alias("word"))
-    terms = cut_lineage(terms.groupBy(*names, "word").agg(F.count(F.lit(1)).cast("double").alias("n")))
-    blocks = max(1, -(-terms.count() // BLOCK_CELLS))
-    terms = terms.withColumn("block", F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int"))
-    heavy = terms.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CELLS).alias("slices")).where("slices > 2")  # a row a block at most
-    terms = terms.join(F.broadcast(heavy), "block", "left").withColumn(
-        "slice", F.pmod(F.xxhash64("word", F.lit(5)), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
-    need = terms.select("block", "slice", "word").distinct()
+    terms = _word_blocks(tokens.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(token_col).alias("word")), names)
+    need = terms.where(F.size("words") > 0).select("block", F.explode("words").alias("word")).distinct()
     if scale is not None:
         need = need.join(scale.select(F.col("token").alias("word"), "factor"), "word")
     found = need.join(vectors.select("word", "vec"), "word", "left").withColumn("vec", F.coalesce("vec", fallback) if fallback is not None else F.col("vec"))
     exact = F.forall("vec", lambda x: x == x.cast("float").cast("double"))  # 4 bytes where they say the same
-    found = found.select(F.col("block").alias("b"), F.col("slice").alias("s"), F.col("word").alias("w"), *(["factor"] if scale is not None else []),
+    found = found.select(F.col("block").alias("b"), F.col("word").alias("w"), *(["factor"] if scale is not None else []),
                          F.when(exact, F.col("vec").cast("array<float>")).alias("half"), F.when(F.coalesce(~exact, F.lit(True)), F.col("vec")).alias("full"))
 
     def add(cells: pa.Table, words: pa.Table) -> pa.Table:
@@ -119,14 +149,18 @@ def _text_sums(tokens: DataFrame, vectors: DataFrame, keys: list[str], token_col
             factor[code] = words.column("factor").to_numpy()
         else:
             factor = np.ones(len(listed))
-        at = pc.index_in(cells.column("word").combine_chunks(), value_set=listed).fill_null(-1).to_numpy(zero_copy_only=False)
-        cells, at = cells.filter(pa.array(at >= 0)), at[at >= 0]
-        text = np.zeros(len(at), np.int64)
+        text = np.zeros(cells.num_rows, np.int64)
         for k in names:
             part = cells.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
             text = np.unique(text * (len(part.dictionary) + 1) + part.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        row = np.repeat(np.arange(cells.num_rows), pc.list_value_length(cells.column("at")).to_numpy())
+        place = pc.index_in(cells.column("words").combine_chunks().flatten(), value_set=listed).fill_null(-1).to_numpy(zero_copy_only=False)
+        at = place[cells.column("at").combine_chunks().flatten().to_numpy()]
+        n = cells.column("n").combine_chunks().flatten().to_numpy().astype(float)
+        row, at, n = row[at >= 0], at[at >= 0], n[at >= 0]
+        text = text[row]
         order = np.argsort(text, kind="stable")
-        text, at, n = text[order], at[order], cells.column("n").to_numpy()[order]
+        text, row, at, n = text[order], row[order], at[order], n[order]
         first = np.flatnonzero(np.diff(text, prepend=-1))
         weight = n * factor[at]
         total = np.zeros((len(first), dim))
@@ -134,12 +168,12 @@ def _text_sums(tokens: DataFrame, vectors: DataFrame, keys: list[str], token_col
             t = text[lo : lo + (1 << 16)]
             starts = np.flatnonzero(np.diff(t, prepend=-1))
             total[t[starts]] += np.add.reduceat(x[at[lo : lo + len(t)]] * weight[lo : lo + len(t), None], starts)
-        keyed = {k: cells.column(k).combine_chunks().take(pa.array(order[first])) for k in names}
+        keyed = {k: cells.column(k).combine_chunks().take(pa.array(row[first])) for k in names}
         sums = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), dim).cast(pa.list_(pa.float64()))
         return pa.table({**keyed, "sums": sums, "weight": np.bincount(text, weight * often[at], len(first))})
 
     kinds = ", ".join(f"{n} {terms.schema[n].dataType.simpleString()}" for n in names)
-    parts = terms.groupBy("block", "slice").cogroup(found.groupBy("b", "s")).applyInArrow(add, f"{kinds}, sums array<double>, weight double")
+    parts = terms.groupBy("block").cogroup(found.groupBy("b")).applyInArrow(add, f"{kinds}, sums array<double>, weight double")
     whole = parts.groupBy(*names).agg(Summarizer.sum(array_to_vector("sums")).alias("sums"), F.sum("weight").alias("weight"))
     return whole.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], vector_to_array("sums").alias("sums"), "weight")
 
